@@ -159,3 +159,18 @@ def mix(docs: DataFrame, block_words: int = 128, seed: int = 0, text: str = "tex
     return rows.join(got, same & (F.col("size") > 0), "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("words_taken", F.lit(0)).cast("long").alias("taken")
     )
+
+
+def repeat_documents(docs: DataFrame, block_words: int = 128, seed: int = 0) -> DataFrame:
+    """docs with each row as often as the mix takes it: taken / size times, the
+    fraction rounded up or down by a hash of its id and size, so that each source's
+    words come near its target. Rows of size 0 go. All columns stay."""
+    names = docs.columns
+    found = mix(docs, block_words, seed).filter("taken > 0")
+    ratio = F.col("taken") / F.col("size")
+    draw = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    found = found.withColumn("copies", (F.floor(ratio) + (draw < ratio - F.floor(ratio)).cast("long")).cast("int"))
+    # rows that repeat an id share what the mix takes of it
+    times = found.groupBy(F.col("doc_id").alias("__id")).agg(F.round(F.avg("copies")).cast("int").alias("__copies")).filter("__copies > 0")
+    joined = docs.join(times, docs["doc_id"] == times["__id"])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
