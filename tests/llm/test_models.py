@@ -37,8 +37,10 @@ def test_forward_backward():
 
 
 def test_words():
-    w = language_id.words_of(["", "a b", "Ünï x1y", "  ", "tail"])
+    some = ["", "a b", "Ünï x1y", "  ", "tail"]
+    w = language_id.words_of(some, all_runs=True)
     assert w.text.tolist() == [1, 1, 2, 2, 2, 4] and len(w.lexicon) == 6
+    assert language_id.words_of(some).text.tolist() == [1, 1, 2, 4]
     same = language_id.words_of(["tail", "Tail a"])
     assert same.lexicon[0] == same.lexicon[1] == w.lexicon[5]
 

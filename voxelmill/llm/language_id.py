@@ -1,6 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Words are runs of letters. A word's features are its affixes and inner n-grams
+Words are runs of letters beside no digit (where a text has no other, all runs
+of letters are its words). A word's features are its affixes and inner n-grams
 of two to four letters (the place before and behind the word counts as one) and
 the word itself as a lexicon entry, all hashed into fixed tables of weights; the
 chain adds a weight for each pair of labels of neighbouring words. Weights are
@@ -51,10 +52,17 @@ class Words:
     text: np.ndarray  # the number of each word's text
 
 
-def words_of(texts: list[str]) -> Words:
+def words_of(texts: list[str], all_runs: bool = False) -> Words:
+    """The words of texts; all_runs: also runs of letters that touch a digit."""
     lowered = [t.lower() for t in texts]
     code = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letters()[code] if len(code) else np.zeros(0, bool)
+    digit = (code >= 48) & (code <= 57)
+    if not all_runs and digit.any():
+        either = letter | digit
+        run = np.cumsum(either & ~np.concatenate(([False], either[:-1])))
+        mixed = np.bincount(run[digit], minlength=run[-1] + 1) > 0
+        letter = letter & ~mixed[run]
     first = letter & ~np.concatenate(([False], letter[:-1]))
     # letters, and the place before each word
     before = np.concatenate((first[1:], [False])) if len(code) else first
@@ -242,10 +250,12 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     def flush() -> None:
         if not held:
             return
-        found = [(words_of([t for _, t in held]), np.array([n for n, _ in held]))]
-        emissions = [model.emissions(w) for w, _ in found]
-        owner = np.concatenate([n[w.text] for w, n in found])
-        label(np.concatenate(emissions), owner)
+        words, number = words_of([t for _, t in held]), np.array([n for n, _ in held])
+        label(model.emissions(words), number[words.text])
+        left = [(n, t) for n, t in held if names[n] == UNKNOWN and any(map(str.isalpha, t))]
+        if left:
+            words, number = words_of([t for _, t in left], all_runs=True), np.array([n for n, _ in left])
+            label(model.emissions(words), number[words.text])
         held.clear()
 
     def label(emissions: np.ndarray, owner: np.ndarray) -> None:
@@ -259,9 +269,11 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
 
     for n, t in enumerate(texts):
         if len(t) > 2 * SLICE:
-            parts = [model.emissions(words_of([piece])) for piece in pieces(t)]
-            whole = np.concatenate(parts)
-            label(whole, np.full(len(whole), n))
+            for all_runs in (False, True):
+                whole = np.concatenate([model.emissions(words_of([piece], all_runs)) for piece in pieces(t)])
+                label(whole, np.full(len(whole), n))
+                if names[n] != UNKNOWN:
+                    break
             continue
         held.append((n, t))
         size += len(t)
@@ -277,7 +289,7 @@ def pieces(text: str) -> Iterator[str]:
     at = 0
     while at < len(text):
         end = min(len(text), at + SLICE)
-        while end < len(text) and text[end - 1].isalpha():
+        while end < len(text) and text[end - 1].isalnum():
             end += 1
         yield text[at:end]
         at = end
