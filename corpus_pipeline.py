@@ -17,7 +17,7 @@ from voxelmill.session import fresh_path
 #: A text is rejected if no language has this mean probability: it has no
 #: letters, or no learned language fits. Texts that switch between two
 #: languages stay.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
