@@ -93,7 +93,8 @@ def mix_plan(targets: DataFrame, block_words: int, shard_slots: int = 65_536, se
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     step = 16_384
     runs = plan.filter("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / step))))
-    runs = runs.repartition("n", "run")
+    # a fixed number of partitions: the rows are small here, what they become isn't
+    runs = runs.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n", "run")
     first = F.col("run") * step
     each = runs.withColumn("j", F.explode(F.sequence(first, F.least(first + (step - 1), F.col("slots") - 1))))
     pass_no = F.floor(F.col("j") / F.col("blocks")).cast("long")
