@@ -203,7 +203,7 @@ def obb_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RESAMPLE = " UNION ALL ".join(
-    f"SELECT t.k, (CASE {i} WHEN 1 THEN 0.25 ELSE 0.75 END) * (CASE {j} WHEN 1 THEN 0.5 ELSE 0.5 END) * (CASE {k} WHEN 1 THEN 0.75 ELSE 0.25 END) * v.density_milli AS w "
+    f"SELECT t.k, (CASE {i} WHEN 1 THEN 0.25 ELSE 0.75 END) * (CASE {j} WHEN 1 THEN 0.5 ELSE 0.5 END) * (CASE {k} WHEN 1 THEN 0.75 ELSE 0.25 END) * CAST(v.density_milli AS DOUBLE) AS w "
     f"FROM f t JOIN vox v ON v.x = t.x + {i} AND v.y = t.y + {j} AND v.z = t.z + {k}"
     for i in (0, 1)
     for j in (0, 1)

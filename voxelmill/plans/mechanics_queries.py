@@ -170,7 +170,7 @@ def radius_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT s_suppkey, s_suppkey % 9 - 4.0 AS x, s_nationkey % 7 - 3.0 AS y, s_suppkey % 5 * 1.0 AS z FROM supplier)
+    """WITH t AS (SELECT s_suppkey, CAST(s_suppkey % 9 - 4 AS DOUBLE) AS x, CAST(s_nationkey % 7 - 3 AS DOUBLE) AS y, CAST(s_suppkey % 5 AS DOUBLE) AS z FROM supplier)
 SELECT s_suppkey, round(0.01 + 0.002 * (z - 2) - 0.003 * (y - 0.5), 9) AS ux, round(-0.02 + 0.003 * (x - 1) - 0.001 * (z - 2), 9) AS uy, round(0.005 + 0.001 * (y - 0.5) - 0.002 * (x - 1), 9) AS uz FROM t"""
 )
 def rigid_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
