@@ -25,7 +25,7 @@ from ..session import cut
 from .components import connected_components
 
 BLOCK = 1024
-CELL_ROWS = 24
+CELL_ROWS = 192
 MOST_WORDS = 512
 
 
@@ -114,20 +114,21 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def find_links(vectors: DataFrame, index: MultiIndex, least_cosine: float) -> DataFrame:
-    """vectors (row, label, v: scaled array<double>) to rows (row, linked, root):
-    linked counts new links of `row` in one pair of blocks; (row, root) edges
-    join the same rows as the links do."""
+    """vectors (row, label, v: array) to rows (row, linked, root): linked counts
+    new links of `row` in one pair of blocks; (row, root) edges join the same
+    rows as the links do."""
     width = len(index.books[1])
+    kind = vectors.schema["v"].dataType.simpleString()
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.iloc[at : at + 2048]
-                v = _stack(part["v"])
+                v = unit(_stack(part["v"]))
                 cells = index.cells(v)
                 yield part.assign(cell=cells[:, 0] * width + cells[:, 1], visits=index.visits(v))
 
-    filed = cut(vectors.mapInPandas(file, "row long, label int, v array<double>, cell long, visits array<long>"))
+    filed = cut(vectors.mapInPandas(file, f"row long, label int, v {kind}, cell long, visits array<long>"))
     home = filed.groupBy("label", "cell").agg(F.count("*").alias("n_home"))
     asked = filed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("n_asked"))
     parts = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
@@ -144,7 +145,7 @@ def find_links(vectors: DataFrame, index: MultiIndex, least_cosine: float) -> Da
         empty = pd.DataFrame({"row": [], "linked": [], "root": []}, dtype="int64")
         if not len(asks) or not len(homes):
             return empty
-        x, y = _stack(asks["v"]), _stack(homes["v"])
+        x, y = unit(_stack(asks["v"])), unit(_stack(homes["v"]))
         rx, ry = asks["row"].to_numpy(), homes["row"].to_numpy()
         near = (x @ y.T >= least_cosine) & (rx[:, None] != ry)
         if not near.any():
@@ -199,27 +200,21 @@ def embedding_components(
     linked as rows of their own and share the id's component. Empty tables give
     no rows. Other columns aren't read.
     """
-    base = vectors.select(
-        F.col(id).cast("long").alias("vec_id"), F.col(label).cast("int").alias("label"), F.col(embedding).cast("array<double>").alias("v")
-    )
+    # vectors travel as they are stored; each comparison scales them in double precision
+    v = F.col(embedding) if vectors.schema[embedding].dataType.simpleString() == "array<float>" else F.col(embedding).cast("array<double>")
+    base = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(label).cast("int").alias("label"), v.alias("v"))
     sized = base.groupBy(F.size("v").alias("d")).count().filter("d > 1").orderBy(F.desc("count"), "d").first()
     dims = sized["d"] if sized else 0
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = (F.size("v") == dims) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)
 
-    def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield batch.assign(v=list(unit(_stack(batch["v"]))))
-
-    schema = "row long, label int, v array<double>"
-    good = base.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable).select(F.col("vec_id").alias("row"), "label", "v")
-    good = cut(good.mapInPandas(scale, schema))
+    good = cut(base.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable).select(F.col("vec_id").alias("row"), "label", "v"))
     count = good.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
     if not count[0]:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     picked = good.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.3 * sample_rows / count[0]))).limit(sample_rows)
-    sample = np.stack([r.v for r in picked.select("v").collect()] or [r.v for r in good.select("v").limit(sample_rows).collect()]).astype(np.float64)
+    sample = [r.v for r in picked.select("v").collect()] or [r.v for r in good.select("v").limit(sample_rows).collect()]
+    sample = unit(np.array(sample, dtype=np.float64))
     words = int(np.clip(np.sqrt(count[1] / CELL_ROWS), 2, MOST_WORDS))
     index = MultiIndex(sample, words, least_cosine, recall, seed)
     found = cut(find_links(good, index, least_cosine).groupBy("row", "root").agg(F.sum("linked").alias("linked")))
