@@ -49,7 +49,7 @@ def test_nearest_seed_far_and_tied(spark):
     rng = np.random.default_rng(1)
     seeds = [(k, *map(float, p)) for k, p in enumerate(rng.normal(size=(80, 3)))] + [(200, 5.0, 5.0, 5.0), (100, 5.0, 5.0, 5.0)]
     points = [(k, *map(float, p)) for k, p in enumerate(rng.normal(size=(400, 3)) * 2)] + [(900, 500.0, 0.0, 0.0), (901, 5.0, 5.0, 5.1)]
-    got = {r["point_id"]: r["seed_id"] for r in neighbours.nearest_seed(spark.createDataFrame(points, "point_id long, x double, y double, z double"), spark.createDataFrame(seeds, "seed_id long, x double, y double, z double"), max_rounds=4).collect()}
+    got = {r["point_id"]: r["seed_id"] for r in neighbours.nearest_seed(spark.createDataFrame(points, "point_id long, x double, y double, z double"), spark.createDataFrame(seeds, "seed_id long, x double, y double, z double")).collect()}
     s = sorted(seeds)
     d = ((np.array([p[1:] for p in points])[:, None] - np.array([p[1:] for p in s])[None]) ** 2).sum(2)
     assert got == {p[0]: s[int(k)][0] for p, k in zip(points, d.argmin(1), strict=True)}

@@ -1,13 +1,14 @@
-"""Joins of points with their nearest seeds, over a hash grid.
+"""Joins of points with their nearest seeds, over hash grids.
 
-Space is cut in cubes of edge h. In round k a point meets the seeds of the cubes
-at most k away; its nearest seed is settled once that is within k * h, and only
-unsettled points go on to the next round. No pair of far points is made.
+Space is cut in cubes. In each round a point meets the seeds of its own cube and
+the 26 about it; its nearest seed is settled once nothing outside can be nearer,
+and only unsettled points go on to the next round, with cubes twice as wide. No
+pair of far points is made while a nearer seed is known.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -15,8 +16,10 @@ from ..session import cut
 AXES = ("x", "y", "z")
 
 
-def _spread(k: int) -> Column:
-    return F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, (i, j, m), strict=True)]) for i in range(-k, k + 1) for j in range(-k, k + 1) for m in range(-k, k + 1) if max(abs(i), abs(j), abs(m)) == k])
+def _about() -> Column:
+    """The 27 cubes about a point."""
+    steps = [(i, j, m) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]
+    return F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, s, strict=True)]) for s in steps])
 
 
 def distance2(a: str, b: str) -> Column:
@@ -34,29 +37,31 @@ def nearest_seed(points: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> D
     """points (point_id, x, y, z) and seeds (seed_id, x, y, z) to point_id,
     seed_id, d2. Ties go to the smaller seed_id. Without seeds: no rows."""
     h = cube_edge(seeds)
-    cube = lambda p: [F.floor(F.col(a) / h).cast("long").alias(f"{p}{a}") for a in AXES]
-    placed = cut(seeds.select("seed_id", *[F.col(a).alias(f"s{a}") for a in AXES], *cube("c")))
+    placed = cut(seeds.select(F.col("seed_id").cast("long").alias("seed_id"), *[F.col(a).cast("double").alias(f"s{a}") for a in AXES]))
+    none = F.lit(None).cast("struct<d2:double,seed_id:bigint>").alias("best")
+    open_ = points.select("point_id", *[F.col(a).cast("double").alias(f"p{a}") for a in AXES], none)
     if placed.isEmpty():
-        return points.select("point_id", F.lit(None).cast("long").alias("seed_id"), F.lit(None).cast("double").alias("d2")).limit(0)
-    open_ = cut(points.select("point_id", *[F.col(a).cast("double").alias(f"p{a}") for a in AXES], *cube("c"), F.lit(None).cast("struct<d2:double,seed_id:bigint>").alias("best")))
+        return open_.select("point_id", "best.seed_id", "best.d2").limit(0)
     done = []
     for k in range(max_rounds):
-        asked = open_.withColumn("o", F.explode(_spread(k)))
-        asked = asked.select("point_id", *[f"p{a}" for a in AXES], *[(F.col(f"c{a}") + F.col(f"o.d{a}")).alias(f"c{a}") for a in AXES])
-        met = asked.join(placed, [f"c{a}" for a in AXES]).groupBy("point_id").agg(F.min(F.struct(distance2("p", "s").alias("d2"), F.col("seed_id").cast("long").alias("seed_id"))).alias("new"))
+        edge = h * 2.0**k
+        cube = lambda p, edge=edge: {a: F.floor(F.col(f"{p}{a}") / edge).cast("long") for a in AXES}
+        asked = open_.withColumn("o", F.explode(_about()))
+        asked = asked.select("point_id", *[f"p{a}" for a in AXES], *[(c + F.col(f"o.d{a}")).alias(f"c{a}") for a, c in cube("p").items()])
+        there = placed.select("*", *[c.alias(f"c{a}") for a, c in cube("s").items()])
+        pair = F.struct(distance2("p", "s").alias("d2"), "seed_id")
+        met = asked.join(there, [f"c{a}" for a in AXES]).groupBy("point_id").agg(F.min(pair).alias("new"))
         merged = open_.join(met, "point_id", "left").withColumn("best", F.least("best", "new")).drop("new")
-        settled = F.coalesce(F.col("best.d2") <= (k * h) ** 2, F.lit(False))
-        merged = cut(merged.withColumn("ok", settled))
+        # how far a point is, at least, from what is outside the 27 cubes
+        off = [F.pmod(F.col(f"p{a}"), F.lit(edge)) for a in AXES]
+        reach = F.least(*[F.least(o, edge - o) for o in off]) + edge
+        merged = cut(merged.withColumn("ok", F.coalesce(F.sqrt("best.d2") < reach * (1 - 1e-9), F.lit(False))))
         done.append(merged.filter("ok").select("point_id", "best.seed_id", "best.d2"))
-        open_ = cut(merged.filter("NOT ok").drop("ok"))
+        open_ = merged.filter("NOT ok").drop("ok")
         if open_.isEmpty():
             break
     else:
-        # seeds are far from these: compare with all, seed by seed group
-        far = open_.select("point_id", *[f"p{a}" for a in AXES]).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        all_ = placed.withColumn("g", F.pmod(F.xxhash64("seed_id"), F.lit(64)).cast("int"))
-        met = far.join(all_, "g").groupBy("point_id").agg(F.min(F.struct(distance2("p", "s").alias("d2"), F.col("seed_id").cast("long").alias("seed_id"))).alias("b"))
-        done.append(met.select("point_id", "b.seed_id", "b.d2"))
+        raise RuntimeError("points are too far from all seeds")
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -66,8 +71,6 @@ def nearest_seed(points: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> D
 def halfspaces(seeds: DataFrame, group: list[str], most: int | None = None) -> DataFrame:
     """Bisecting half-spaces n.p <= rhs of each seed and the others of its group,
     its `most` nearest if given: group, seed_id, neighbour_id, nx, ny, nz, rhs."""
-    from pyspark.sql import Window
-
     left = seeds.select(*group, F.col("seed_id"), *[F.col(a).alias(f"a{a}") for a in AXES])
     right = seeds.select(*group, F.col("seed_id").alias("neighbour_id"), *[F.col(a).alias(f"b{a}") for a in AXES])
     pairs = left.join(right, group).filter("seed_id <> neighbour_id").withColumn("d2", distance2("a", "b"))
