@@ -50,3 +50,38 @@ def comma_block(ids: DataFrame, group: str, id: str, per_line: int = 10) -> Data
 
 def safe_name(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9_.-]+", "_"), r"^_+|_+$", "")
+
+
+def materials(lines: DataFrame, deck: str = "deck", n: str = "n", text: str = "line") -> DataFrame:
+    """(deck, material, density, modulus, ratio): the data lines below *Density
+    and *Elastic, of the last *Material before them in their deck."""
+    w = Window.partitionBy(deck).orderBy(n).rowsBetween(Window.unboundedPreceding, 0)
+    line = F.trim(F.col(text))
+    key = keyword(line)
+    name = F.when(key == "material", F.element_at(parameters(line), "name"))
+    marked = lines.withColumn("material", F.last(name, ignorenulls=True).over(w)).withColumn("keyword", F.last(key, ignorenulls=True).over(w))
+    values = tokens(F.col(text))
+    rows = marked.filter((line != "") & ~line.startswith("*") & F.col("material").isNotNull() & F.col("keyword").isin("density", "elastic"))
+    number = lambda i: F.get(values, F.lit(i)).cast("double")
+    rows = rows.select(deck, "material", "keyword", F.col(n).alias("n"), number(0).alias("a"), number(1).alias("b"))
+    first = lambda k, v: F.min(F.when(F.col("keyword") == k, F.struct("n", v)))[v]
+    return rows.groupBy(deck, "material").agg(first("density", "a").alias("density"), first("elastic", "a").alias("modulus"), first("elastic", "b").alias("ratio"))
+
+
+def solid_sections(lines: DataFrame, deck: str = "deck", n: str = "n", text: str = "line") -> DataFrame:
+    """(deck, n, elset, material), upper case, of *Solid Section headers."""
+    line = F.trim(F.col(text))
+    p = parameters(line)
+    found = lines.filter(keyword(line) == "solid section")
+    return found.select(deck, n, F.upper(F.element_at(p, "elset")).alias("elset"), F.upper(F.element_at(p, "material")).alias("material"))
+
+
+def load_rows(lines: DataFrame, deck: str = "deck", n: str = "n", text: str = "line") -> DataFrame:
+    """(deck, n, target, dof, magnitude) of the data lines below *Cload."""
+    rows = sections(lines, deck, n, text).filter("keyword = 'cload' AND size(tokens) >= 3")
+    return rows.select(deck, n, F.col("tokens")[0].alias("target"), F.col("tokens")[1].cast("int").alias("dof"), F.col("tokens")[2].cast("double").alias("magnitude"))
+
+
+def bucket_of(material: Column) -> Column:
+    """The number behind the last underscore of a material's name."""
+    return F.substring_index(material, "_", -1).cast("int")

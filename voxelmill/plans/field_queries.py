@@ -314,3 +314,37 @@ def density_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = drawn.select(F.col("s_suppkey").alias("seed_id"), *[(F.col(a) + 0.5).alias(a) for a in "xyz"])
     near = neighbours.nearest_seed(vox.select(F.col("k").alias("point_id"), *[(F.col(a) + 0.5).alias(a) for a in "xyz"]), seeds)
     return near.join(vox.select(F.col("k").alias("point_id"), "density_milli"), "point_id").groupBy("seed_id").agg(F.count("*").alias("voxels"), F.sum("density_milli").alias("mass"))
+
+
+@query(
+    f"""WITH {VOXELS}, b AS (SELECT x, y, z FROM vox WHERE density_milli >= 30), d AS (SELECT x, y, z FROM vox WHERE density_milli >= 60), t AS (SELECT max(z) AS top FROM d),
+f AS (SELECT DISTINCT x, y FROM d, t WHERE z >= top - 2)
+SELECT x, y, z FROM b JOIN f USING (x, y), t WHERE z BETWEEN top - 5 AND top"""
+)
+def contact_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels under the footprint of the topmost dense layers, within five layers of the top."""
+    vox = voxels(spark, sf_dir)
+    dense = vox.filter("density_milli >= 60")
+    top = dense.agg(F.max("z")).first()[0]
+    if top is None:
+        return vox.select("x", "y", "z").limit(0)
+    foot = dense.filter(F.col("z") >= top - 2).select("x", "y")
+    return vox.filter("density_milli >= 30").filter(F.col("z").between(top - 5, top)).join(foot, ["x", "y"], "left_semi").select("x", "y", "z")
+
+
+@query(
+    f"""WITH {VOXELS}, l AS (SELECT x, y, z, density_milli % 23 AS label FROM vox),
+n AS (SELECT a.label AS la, b.label AS lb FROM l a JOIN l b ON b.x = a.x + 1 AND b.y = a.y AND b.z = a.z
+  UNION ALL SELECT a.label, b.label FROM l a JOIN l b ON b.x = a.x AND b.y = (a.y + 1) % {NY} AND b.z = a.z
+  UNION ALL SELECT a.label, b.label FROM l a JOIN l b ON b.x = a.x AND b.y = a.y AND b.z = a.z + 1),
+d AS (SELECT DISTINCT la AS label, lb AS other FROM n WHERE la <> lb UNION SELECT DISTINCT lb, la FROM n WHERE la <> lb)
+SELECT label, count(*) AS degree, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS neighbours FROM d GROUP BY label"""
+)
+def label_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted distinct neighbours of each label; the y axis wraps."""
+    vox = voxels(spark, sf_dir).withColumn("label", F.col("density_milli") % 23)
+    pairs = grid.adjacent_labels(vox, "label", (NX, NY, NZ), (False, True, False))
+    both = pairs.select(F.col("a").alias("label"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    # as many as there are labels
+    listed = F.array_sort(F.collect_set("other"))
+    return both.groupBy("label").agg(F.count("*").alias("degree"), F.array_join(F.transform(listed, lambda v: v.cast("string")), ",").alias("neighbours"))

@@ -375,3 +375,19 @@ def first_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = x.join(y, ["a_id", "n"], "full_outer")
     differs = ~F.col("x").eqNullSafe(F.col("y"))
     return both.groupBy(F.col("a_id").alias("doc_id")).agg((F.min(F.when(differs, F.col("n"))) + 1).cast("long").alias("first_mismatch"))
+
+
+@query(
+    """SELECT p_brand AS deck, 'CAGE_' || p_partkey AS material, CAST(p_partkey AS INT) AS bucket, p_size * 0.5::DOUBLE AS density, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey * 10.0::DOUBLE END AS modulus,
+  CASE WHEN p_partkey % 3 <> 0 THEN 0.25::DOUBLE END AS ratio FROM part"""
+)
+def deck_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as a deck of materials for each brand, and read back."""
+    k = F.col("p_partkey")
+    lines = F.array(
+        F.concat(F.lit("*Material, name=CAGE_"), k.cast("string")), F.lit("*Density"), F.concat((F.col("p_size") * 0.5).cast("string"), F.lit(",")),
+        F.when(k % 3 != 0, "*Elastic").otherwise("** none"), F.when(k % 3 != 0, F.concat((k * 10.0).cast("string"), F.lit(", 0.25"))).otherwise(""),
+    )
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("deck"), k.alias("p"), F.posexplode(lines).alias("at", "line"))
+    found = decks.materials(rows.select("deck", (F.col("p") * 8 + F.col("at")).alias("n"), "line"))
+    return found.withColumn("bucket", decks.bucket_of(F.col("material")))
