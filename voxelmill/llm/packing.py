@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +33,45 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
 LETTER, DIGIT, GAP = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾", "\t\n\r "
 WORD = re.compile(f"[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{DIGIT}]|[^{LETTER}{DIGIT}{GAP}]+")
 CACHED_WORDS = 700_000
+CLOSES = frozenset(".!?")
 LONGEST_PIECE = 1 << 20
 
 
+class Store:
+    """Rows of ids of different lengths, by number."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.begin, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.used = 0
+
+    def add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = len(self.number), len(keys)
+        while n + m > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.length))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[n : n + m] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + m] = lengths
+        self.used += len(ids)
+        self.number.update(zip(keys, range(n, n + m), strict=True))
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+
+    def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows in a row, and where each ends."""
+        lengths = self.length[at]
+        ends = np.cumsum(lengths)
+        many = int(ends[-1]) if len(at) else 0
+        return self.ids[np.repeat(self.begin[at] - ends + lengths, lengths) + np.arange(many)], ends
+
+
 class WordTokenizer:
-    """Ids of whole texts, word by word with a bounded cache of words.
+    """Ids of whole texts, with bounded caches of words and of what stands
+    between white space.
 
     The tokenizer splits lower-cased text into words and merges within each
     word only, so equal words have equal ids everywhere. Texts with characters
@@ -45,18 +81,10 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.number: dict[str, int] = {}
         names = self.tokenizer.get_vocab()
         self.final = np.zeros(max(names.values()) + 1, bool)  # ids that end a word
         self.final[[n for name, n in names.items() if name.endswith("</w>")]] = True
-        self.reset()
-
-    def reset(self) -> None:
-        self.number.clear()
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.begin, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-        self.closes = np.empty(1 << 14, bool)
-        self.used = 0
+        self.words, self.chunks = Store(), Store()
 
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each has."""
@@ -75,38 +103,43 @@ class WordTokenizer:
                 lengths.append(np.array([len(x) for x in each]))
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def learn(self, words: list[str]) -> None:
-        ids, lengths = self.merged(words)
-        n, m = len(self.number), len(words)
-        while n + m > len(self.begin):
-            self.begin, self.length, self.closes = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.length, self.closes))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.begin[n : n + m] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + m] = lengths
-        self.closes[n : n + m] = [w[-1] in ".!?" for w in words]
-        self.used += len(ids)
-        self.number.update(zip(words, range(n, n + m), strict=True))
+    def learn(self, chunks: list[str]) -> None:
+        split = [WORD.findall(c) for c in chunks]
+        flat = [w for words in split for w in words]
+        new = sorted(set(flat).difference(self.words.number))
+        if new:
+            self.words.add(new, *self.merged(new))
+        ids, ends = self.words.rows(self.words.numbers(flat))
+        last = np.cumsum([len(words) for words in split])
+        self.chunks.add(chunks, ids, np.diff(ends[last - 1], prepend=0))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, positions behind a sentence's last id) of each text."""
-        split = [WORD.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        if len(self.number) > CACHED_WORDS:
-            self.reset()
-        new = set().union(*(w for w in split if w)).difference(self.number)
+        if len(self.chunks.number) > CACHED_WORDS:
+            self.words, self.chunks = Store(), Store()
+        plain = ["<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        lowered = pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string())
+        split = pc.ascii_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
+        seen, place, first = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+        counts = np.diff(first)
+        new = [c for c in seen if c and c not in self.chunks.number]
         if new:
-            self.learn(sorted(new))
-        get = self.number.__getitem__
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
+            self.learn(new)
+        number = np.fromiter((self.chunks.number[c] if c else -1 for c in seen), np.int64, len(seen))
+        closes = np.fromiter((c[-1:] in CLOSES for c in seen), bool, len(seen))
+        held = number[place] >= 0 if len(place) else np.zeros(0, bool)
+        ids, ends = self.chunks.rows(number[place][held])
+        text_of = np.repeat(np.arange(len(texts)), counts)[held]
+        bounds = np.searchsorted(text_of, np.arange(len(texts) + 1))
+        closing = closes[place][held]
+        at = np.concatenate(([0], ends))
+        for n, text in enumerate(texts):
+            if not plain[n]:
                 yield self.encode_any(text)
                 continue
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            lengths = self.length[at]
-            ends = np.cumsum(lengths)
-            many = int(ends[-1]) if words else 0
-            yield self.ids[np.repeat(self.begin[at] - ends + lengths, lengths) + np.arange(many)], ends[self.closes[at]]
+            lo, hi = bounds[n], bounds[n + 1]
+            yield ids[at[lo] : at[hi]], at[lo + 1 : hi + 1][closing[lo:hi]] - at[lo]
 
     def encode_any(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         ids, closes, at, n = [], [], 0, 0
