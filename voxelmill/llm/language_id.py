@@ -31,6 +31,7 @@ ORDERS = (2, 3, 4)
 SEGMENT = 64
 SLICE = 1 << 20
 UNKNOWN = "und"
+LONGEST = 50_000
 _letters: np.ndarray | None = None
 
 
@@ -302,9 +303,11 @@ def held_out(id: Column) -> Column:
 
 def learn(docs: DataFrame, per_language: int = 250, text: str = "text", id: str = "doc_id", lang: str = "lang") -> Model:
     """Fit on about per_language documents of each language (a documented bound:
-    at most twice as many), picked by a hash of the id among those with a
-    language that aren't held out."""
+    at most twice as many, of at most LONGEST code points each, so that the
+    sample stays small), picked by a hash of the id among those with a language
+    that aren't held out."""
     rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
+    rows = rows.filter(F.length("t") <= LONGEST)
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(200).collect()}
     if not counts:
         return Model([], np.zeros((len(ORDERS) + 1, (1 << TABLE_BITS) + 1, 0), np.float32), np.zeros((0, 0)))
