@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.prefix import dense_index
+from ..operators.prefix import dense_index, running_sum
 from ..session import cut
 
 #: Words: runs of anything but [\x20\x09-\x0D].
@@ -86,10 +86,7 @@ def mix_plan(targets: DataFrame, block_words: int, shard_slots: int = 65_536, se
         rest.alias("rest"),
     )
     slots = F.col("full") * F.col("blocks") + F.ceil(F.col("rest") / F.lit(block_words)).cast("long")
-    plan = cut(plan.withColumn("slots", slots))
-    before = F.sum("slots").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    # a row for each source
-    plan = plan.withColumn("before", F.coalesce(before, F.lit(0)))
+    plan = cut(running_sum(plan.withColumn("slots", slots), [F.col("n")], F.col("slots"), "before", inclusive=False))
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     step = 16_384
     runs = plan.filter("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / step))))
