@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, exact dedup, SimHash dedup, mixing, packing.
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, packing.
 
 Each stage takes the rows that its predecessor wrote and acts on all of them;
 all but the last return the columns of documents.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import exact_dedup, language_id, mixing, packing, simhash
+from voxelmill.llm import exact_dedup, language_id, mixing, near_dedup, packing
 from voxelmill.session import fresh_path
 
 #: A text is rejected if no language has this mean probability: it has no
@@ -34,9 +34,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup; the document with the smallest id of each group stays."""
-    found = simhash.simhash_components(docs)
-    return exact_dedup.keep_documents(docs, found.filter("doc_id = component_id").select("doc_id").distinct())
+    """Near-dedup: five-word shingles, similarity 0.8; the document with the smallest id of each group stays."""
+    found = near_dedup.near_components(docs)
+    kept = found.filter("kept").select(exact_dedup.row_key(F.col("doc_id"), F.col("text_key").cast("string")).alias("k")).distinct()
+    key = exact_dedup.row_key(F.col("doc_id").cast("long"), near_dedup.text_key(F.col("text")).cast("string"))
+    return exact_dedup.keep_documents(docs, kept, key=key)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

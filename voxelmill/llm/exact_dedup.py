@@ -110,16 +110,34 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, text: str = "text", id: str
     )
 
 
-def keep_documents(docs: DataFrame, kept_ids: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is in kept_ids (one column, distinct), all
-    columns, one row for each id: of rows that repeat an id any one stays."""
+def row_key(id: Column, digest: Column) -> Column:
+    """One binary key, never null, of an id that may be null and a digest of the row's text."""
+    return F.concat(F.coalesce(id.cast("string"), F.lit("null")).cast("binary"), F.lit(":").cast("binary"), digest.cast("binary"))
+
+
+def keep_documents(docs: DataFrame, kept: DataFrame, id: str = "doc_id", key: Column | None = None, first: Column | None = None) -> DataFrame:
+    """The rows of docs whose key is in kept (one column, distinct), all columns.
+
+    One row for each key stays, the first by `first`, so the key has to tell
+    apart all rows that aren't copies (see row_key). Without a key it is the id:
+    of rows that repeat an id any one stays, and rows without one go.
+    """
     names = docs.columns
-    ids = kept_ids.select(F.col(kept_ids.columns[0]).alias("__keep"))
-    joined = docs.join(ids, docs[id] == ids["__keep"], "left_semi")
-    one = Window.partitionBy(id).orderBy(id)
+    keyed = docs.withColumn("__key", F.col(id) if key is None else key)
+    keys = kept.select(F.col(kept.columns[0]).alias("__keep"))
+    joined = keyed.join(keys, keyed["__key"] == keys["__keep"], "left_semi")
+    one = Window.partitionBy("__key").orderBy("__key" if first is None else first)
     return joined.withColumn("__nth", F.row_number().over(one)).filter("__nth = 1").select(*names)
 
 
+def keep_groups(docs: DataFrame, found: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The rows of docs that found, the result of exact_dedup, marks kept; of
+    rows that share id and normalised text the one with the most code points."""
+    kept = found.filter("kept").select(row_key(F.col("doc_id"), F.unhex("text_sha256")).alias("k")).distinct()
+    longest = F.struct(-F.length(F.coalesce(F.col(text), F.lit(""))), F.col(text))
+    return keep_documents(docs, kept, id, row_key(F.col(id).cast("long"), digest_of(F.col(text))), longest)
+
+
 def new_index(spark: SparkSession) -> DigestIndex:
     """An empty index in the shared folder."""
     return DigestIndex(spark, fresh_path(spark, "digest_index"))
