@@ -30,7 +30,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup against an index that starts empty; one document of each group stays."""
     found = exact_dedup.exact_dedup(docs, exact_dedup.new_index(spark))
-    return exact_dedup.keep_documents(docs, found.filter("kept").select("doc_id").distinct())
+    return exact_dedup.keep_groups(docs, found)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

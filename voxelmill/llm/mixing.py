@@ -115,13 +115,14 @@ def pack_blocks(sized: DataFrame, targets: DataFrame, block_words: int) -> DataF
     upto = Window.partitionBy("n").orderBy("strand").rowsBetween(Window.unboundedPreceding, -1)
     # at most STRANDS rows for each source
     strands = strands.select("n", "strand", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("begin"))
-    inside = Window.partitionBy("n", "strand").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("n", "strand").orderBy("doc_id", "size", *[c for c in sized.columns if c == "key"]).rowsBetween(Window.unboundedPreceding, -1)
     local = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return local.join(strands, ["n", "strand"]).withColumn("first_word", F.col("begin") + F.col("inside")).drop("begin", "inside")
 
 
-def mix(docs: DataFrame, block_words: int = 128, seed: int = 0, text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken.
+def mix(docs: DataFrame, block_words: int = 128, seed: int = 0, text: str = "text", id: str = "doc_id", source: str = "source", key: Column | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, size, source_size, target, taken,
+    and `key`, a column of docs, if one is given.
 
     taken: words of the row that the mix takes, repeats counted; at most 3 times
     its size, as a source is passed at most 3 times. A source's taken words sum
@@ -130,9 +131,11 @@ def mix(docs: DataFrame, block_words: int = 128, seed: int = 0, text: str = "tex
     an id are rows of their own. An empty table gives no rows. Other columns of
     docs aren't read. The same input gives the same result.
     """
+    extra = [] if key is None else ["key"]
     sized = cut(
         docs.select(
-            F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")
+            F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
+            *([] if key is None else [key.alias("key")]),
         ).withColumn("strand", F.pmod(F.xxhash64("doc_id"), F.lit(STRANDS)).cast("int"))
     )
     targets = cut(source_targets(sized))
@@ -155,20 +158,28 @@ def mix(docs: DataFrame, block_words: int = 128, seed: int = 0, text: str = "tex
     got = got.select(F.col("doc_id").alias("g_id"), F.col("n").alias("g_n"), F.col("first_word").alias("g_first"), "words_taken")
     same = (F.col("n") == F.col("g_n")) & F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("first_word") == F.col("g_first"))
     return rows.join(got, same & (F.col("size") > 0), "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("words_taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("words_taken", F.lit(0)).cast("long").alias("taken"), *extra
     )
 
 
 def repeat_documents(docs: DataFrame, block_words: int = 128, seed: int = 0) -> DataFrame:
     """docs with each row as often as the mix takes it: taken / size times, the
-    fraction rounded up or down by a hash of its id and size, so that each source's
-    words come near its target. Rows of size 0 go. All columns stay."""
+    fraction rounded up or down by a hash of its id, size and text, so that each
+    source's words come near its target. Rows of size 0 go. All columns stay.
+    Rows that repeat an id, or have none, count one by one; those of one id,
+    source and text share evenly what the mix takes of them.
+    """
     names = docs.columns
-    found = mix(docs, block_words, seed).filter("taken > 0")
+    # rows that share this key are copies
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.xxhash64("text"), F.xxhash64("source"))
+    found = mix(docs, block_words, seed, key=key).filter("size > 0")
     ratio = F.col("taken") / F.col("size")
-    draw = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    found = found.withColumn("copies", (F.floor(ratio) + (draw < ratio - F.floor(ratio)).cast("long")).cast("int"))
-    # rows that repeat an id share what the mix takes of it
-    times = found.groupBy(F.col("doc_id").alias("__id")).agg(F.round(F.avg("copies")).cast("int").alias("__copies")).filter("__copies > 0")
-    joined = docs.join(times, docs["doc_id"] == times["__id"])
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    draw = F.pmod(F.xxhash64("key", "size", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    found = found.withColumn("copies", F.floor(ratio) + (draw < ratio - F.floor(ratio)).cast("long"))
+    times = found.groupBy(F.col("key").alias("__mixed")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
+    keyed = docs.withColumn("__key", key)
+    joined = keyed.join(times, keyed["__key"] == times["__mixed"])
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    share = F.floor(F.col("__copies") / F.col("__rows")) + (nth <= F.pmod("__copies", "__rows")).cast("long")
+    joined = joined.withColumn("__share", share.cast("int")).filter("__share > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__share")))).select(*names)
