@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import WHOLE
+
 #: Equivalent spellings, other to canonical.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact",
@@ -91,6 +93,12 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOW
     return form.groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("n")).agg(F.min("license").alias("license"))
 
 
+def default_digests(spark: SparkSession) -> DataFrame:
+    """The digests of KNOWN and of the whole licences of WHOLE."""
+    whole = spark.createDataFrame([(d, n, a) for a, n, d in WHOLE], "digest string, n int, license string")
+    return known_digests(spark).unionByName(whole)
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row for each row of docs: doc_id, text_digest, license_id, n_notices, notices.
 
@@ -101,7 +109,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text", id
     one by one. Other columns of docs aren't read.
     """
     spark = docs.sparkSession
-    known = known if known is not None else known_digests(spark)
+    known = known if known is not None else default_digests(spark)
     sizes = [r["n"] for r in known.select("n").distinct().collect()]
     lines = docs.select(F.col(id).cast("long").alias("doc_id"), canonical_lines(F.coalesce(F.col(text), F.lit(""))).alias("c"))
     lines = lines.select("doc_id", with_spelling(F.col("c")).alias("c"))
