@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from voxelmill.session import fresh_path
 from voxelmill.llm import components, exact_dedup, mixing, packing, simhash
 
 from . import cases
@@ -228,3 +229,23 @@ def test_padding_is_little(spark):
     sizes = packing.pack(docs).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     padding = sum(0 if r["n"] & (r["n"] - 1) == 0 else 4096 - r["n"] for r in sizes)
     assert padding < 0.015 * sum(r["n"] for r in sizes)
+
+
+def test_word_tokenizer_at_every_latin_letter():
+    import public_tokenizers
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    whole, fast = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    texts = [form.format(chr(c)) for c in range(9, 0x250) for form in ("{0}", "ab{0}cd", "ab{0}{0}", "x {0}y z")]
+    for t, (ids, _) in zip(texts, fast.encode(texts), strict=True):
+        assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, hex(ord(max(t)))
+
+
+def test_index_reopened_in_another_session_keeps_its_buckets(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id long, text string")
+    path = fresh_path(spark, "index")
+    exact_dedup.exact_dedup(docs, exact_dedup.DigestIndex(spark, path, buckets=8)).collect()
+    again = exact_dedup.exact_dedup(docs, exact_dedup.DigestIndex(spark, path)).collect()
+    assert not any(r["kept"] for r in again) and all(r["in_index"] for r in again)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, buckets=5)

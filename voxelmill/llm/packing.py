@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Characters for which splitting into words here is sure to equal the tokenizer's own splitting.
+#: Characters, in lower case, for which splitting into words here is sure to equal the tokenizer's own splitting.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
 #: The tokenizer's words: contractions, runs of letters, single digits, runs of other signs.
 LETTER, DIGIT, GAP = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾", "\t\n\r "
@@ -117,8 +117,9 @@ class WordTokenizer:
         """(ids, positions behind a sentence's last id) of each text."""
         if len(self.chunks.number) > CACHED_WORDS:
             self.words, self.chunks = Store(), Store()
-        plain = ["<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
-        lowered = pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string())
+        lower = [t.lower() for t in texts]
+        plain = ["<|" not in t and PLAIN.fullmatch(t) is not None for t in lower]
+        lowered = pa.array([t if p else "" for t, p in zip(lower, plain, strict=True)], pa.large_string())
         split = pc.ascii_split_whitespace(lowered)
         coded = split.flatten().dictionary_encode()
         seen, place, first = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), split.offsets.to_numpy()
@@ -207,7 +208,7 @@ class Packer:
 
     def __init__(self, window: int, sentence_cut: float, token_cut: float, run: int):
         self.window, self.sentence_cut, self.token_cut, self.run = window, sentence_cut, token_cut, run
-        self.held: list[list] = []  # doc_id, ids, closes, ids given out so far
+        self.held: deque[list] = deque()  # doc_id, ids, closes, ids given out so far
         self.size, self.sequence = 0, 0
 
     def add(self, doc_id, ids: np.ndarray, closes: np.ndarray) -> Iterator[tuple]:
@@ -259,7 +260,7 @@ class Packer:
                 self.held[0][3] += n
                 offset, room = offset + n, room - n
                 if self.held[0][3] == len(ids):
-                    self.held.pop(0)
+                    self.held.popleft()
             begin, self.sequence = end, self.sequence + 1
         self.size -= begin
 
