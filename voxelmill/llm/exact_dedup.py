@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,19 +33,37 @@ class DigestIndex:
     """Digests of all documents accepted so far.
 
     path: where the table's files are (shared storage). buckets: its number of
-    buckets; it must stay the same over an index's life. A new DigestIndex on
-    the same path goes on where an earlier one, of any session, stopped.
+    buckets, by default that of shuffle partitions. It is stored beside the
+    table, and a new DigestIndex on the same path, of any session, goes on with
+    it; another number given then is an error.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 0):
         self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._stored(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, code_points BIGINT, group_size BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _stored(self, wanted: int, otherwise: int) -> int:
+        """The number of buckets of the index at the path, written if it is new."""
+        name = f"{self.path.rstrip('/')}_buckets"
+        try:
+            held = self.spark.read.schema("buckets int").json(name).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            held = None
+        if held is None:
+            buckets = wanted or otherwise
+            self.spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(name)
+            return buckets
+        if wanted and wanted != held["buckets"]:
+            raise ValueError(f"the index at {self.path} has {held['buckets']} buckets, not {wanted}")
+        return held["buckets"]
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
