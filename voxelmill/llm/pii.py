@@ -1,7 +1,7 @@
 """Personal data: patterns of four kinds, and bootstrapped contextual extraction.
 
 Entities found by the four patterns are seeds. A lexical pattern is the word
-before an entity. Patterns and values form a graph: a pattern is as good as the
+before an entity (L:word) or behind it (R:word). Patterns and values form a graph: a pattern is as good as the
 share of all its places in the corpus that hold a known entity of a kind, and a
 value that no pattern of the four matched, but which looks like an identifier,
 is as good as the patterns it stands in. Scores are passed to and fro over that
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .spans import apart, digits, listed, tagged, with_matches
+from .spans import digits, listed, tagged, with_apart, with_matches
 
 KINDS = ("email", "ip", "card", "phone")
 # Same matches as the plain patterns: what follows a possessive run is never in
@@ -26,8 +26,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-UNKNOWN = r"(?<![A-Za-z0-9])[A-Za-z]{0,4}[#-]?[0-9][A-Za-z0-9./()-]{4,63}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
-PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+UNKNOWN = r"(?<![A-Za-z0-9])[A-Za-z]{0,4}[#-]?[0-9][A-Za-z0-9./()-]{4,}+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"^(?:{PART}\.){{3}}{PART}$"
 
 
@@ -58,39 +58,45 @@ def _valid_spans(kind: str) -> Column:
     return F.filter(kind, lambda s: _valid(kind, s["value"]))
 
 
-def _of_kind(kind: str) -> Column:
-    return F.filter("base", lambda s: s["kind"] == kind)
+def _tagged_words(spans: Column, kind: str, rank: int) -> Column:
+    """Tagged spans that keep the words around them."""
+    names = ("start", "rank", "end", "kind", "value", "left", "right")
+    value = {"rank": F.lit(rank), "kind": F.lit(kind)}
+    return F.transform(spans, lambda s: F.struct(*[(value[n] if n in value else s[n]).alias(n) for n in names]))
+
 
+def _bare(spans: str) -> Column:
+    """Tagged spans without the words around them."""
+    return F.transform(spans, lambda s: F.struct(*[s[n].alias(n) for n in ("start", "rank", "end", "kind", "value")])).alias(spans)
 
-def base_spans(docs: DataFrame, text: str) -> DataFrame:
-    """docs with the column `base`: the tagged spans of the four kinds."""
-    kept = docs.columns
-    found = with_matches(docs, text, PATTERNS)
-    parts = [tagged(_valid_spans(k), k, n) for n, k in enumerate(KINDS)]
-    return found.select(*kept, F.concat(*parts).alias("base"))
 
+def _of_kind(kind: str) -> Column:
+    return F.filter("base", lambda s: s["kind"] == kind)
 
-def _context(text: Column, start: Column) -> Column:
-    """The word, in lower case, that stands before a place; null if none does."""
-    lead = F.substring(text, F.greatest(start - 47, F.lit(1)).cast("int"), F.least(start, F.lit(48)).cast("int"))
-    word = F.lower(F.regexp_extract(F.when(start > 0, lead), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
-    return F.when((word != "") & ~word.rlike("[0-9]"), word)
 
+def _around(spans: str) -> Column:
+    """What is known of each span's place: kind, value, and its patterns."""
 
-def _with_context(spans: Column, text: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), _context(text, s["start"]).alias("pattern")))
+    def patterns(s: Column) -> Column:
+        found = F.array(F.concat(F.lit("L:"), F.lower(s["left"])), F.concat(F.lit("R:"), F.lower(s["right"])))
+        return F.filter(found, lambda w: (F.length(w) > 2) & ~w.rlike("[0-9]"))
+
+    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), patterns(s).alias("patterns")))
 
 
 def score_graph(edges: DataFrame, places: DataFrame, rounds: int, least_pattern: float, least_support: int, least_score: float) -> DataFrame:
     """(value, kind, score) of new entities. edges: pattern, kind (null if
-    unknown), value, n; places: pattern, total. A value takes the kind of its
-    best score; ties go to the kind that is listed first."""
+    unknown), value, n; places: pattern, total. In each round all patterns that
+    a known entity stands in are scored, those of entities found in the round
+    before included. A value takes the kind of its best score; ties go to the
+    kind that is listed first."""
     seeds = edges.filter("kind IS NOT NULL").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
     unknown = edges.filter("kind IS NULL").select("pattern", "value")
     known, new = seeds, None
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    spots = cut(edges.groupBy("pattern", "value").agg(F.sum("n").alias("n")))
     for _ in range(rounds):
-        held = edges.select("pattern", "value", "n").groupBy("pattern", "value").agg(F.sum("n").alias("n")).join(known, "value")
+        held = spots.join(known, "value")
         good = held.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.count("*").alias("support"))
         good = good.filter(F.col("support") >= least_support).join(places, "pattern")
         good = good.withColumn("worth", F.least(F.col("mass") / (F.col("total") + 1), F.lit(0.999)))
@@ -99,14 +105,28 @@ def score_graph(edges: DataFrame, places: DataFrame, rounds: int, least_pattern:
         best = found.filter(F.col("score") >= least_score).groupBy("value").agg(
             F.max(F.struct("score", (-rank).alias("r"), "kind")).alias("b")
         )
+        before = new
         new = cut(best.select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score")))
+        if before is not None and new.select("value", "kind").exceptAll(before.select("value", "kind")).isEmpty():
+            break
         known = seeds.union(new)
     return new
 
 
+def count_places(lines: DataFrame, patterns: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+    """(pattern, total): how often the word of each pattern stands in the texts t
+    of lines. The words asked for go to the texts if there are at most
+    broadcast_rows of them, else both meet in a shuffle; the counts are the same."""
+    wanted = cut(patterns.select(F.substring("pattern", 3, 1 << 30).alias("word")).distinct())
+    words = lines.select(F.explode(F.split(F.lower("t"), r"[\x20\x09-\x0D]+")).alias("word"))
+    few = wanted.count() <= broadcast_rows
+    counted = words.join(F.broadcast(wanted) if few else wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))
+    return counted.select(F.explode(F.array(*[F.concat(F.lit(k), "word") for k in ("L:", "R:")])).alias("pattern"), "total")
+
+
 def find_personal_data(
     docs: DataFrame,
-    rounds: int = 3,
+    rounds: int = 6,
     least_pattern: float = 0.5,
     least_support: int = 3,
     least_score: float = 0.8,
@@ -117,24 +137,24 @@ def find_personal_data(
     more (spans the bootstrapping adds, of the same kinds; they overlap no base
     span). A span is start, rank, end, kind, value; places are code points.
 
+    rounds: at most so many; each reaches one pattern further from the seeds.
     Null and empty texts have no spans. Rows that repeat an id are looked at one
     by one. Whole texts are read, of any length. An empty table gives no rows.
     Other columns of docs aren't read.
     """
     lines = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    found = with_matches(base_spans(lines, "t"), "t", {"odd": UNKNOWN})
+    found = with_matches(lines, "t", PATTERNS | {"odd": UNKNOWN}, words=True)
     likely = F.filter("odd", lambda s: (F.length(digits(s["value"])) >= 6) | s["value"].contains("(") | s["value"].contains("["))
-    likely = tagged(apart(likely, F.col("base")), "unknown", len(KINDS))
-    found = found.select("doc_id", F.xxhash64("t").alias("t_hash"), "t", "base", likely.alias("odd"))
-    found = found.select(
-        "doc_id", "t_hash", "base", "odd", _with_context(F.concat("base", "odd"), F.col("t")).alias("around")
-    )
+    full = [_tagged_words(_valid_spans(k), k, n) for n, k in enumerate(KINDS)]
+    found = found.select("doc_id", F.xxhash64("t").alias("t_hash"), F.concat(*full).alias("base"), _tagged_words(likely, "unknown", len(KINDS)).alias("odd"))
+    found = with_apart(found, "odd", "odd", "base")
+    found = found.select("doc_id", "t_hash", _bare("base"), _bare("odd"), F.concat(_around("base"), _around("odd")).alias("around"))
     found = cut(found)
-    held = found.select(F.explode("around").alias("a")).select("a.*").filter("pattern IS NOT NULL")
+    held = found.select(F.explode("around").alias("a")).select("a.kind", "a.value", F.explode("a.patterns").alias("pattern"))
     edges = cut(held.groupBy("pattern", F.when(F.col("kind") != "unknown", F.col("kind")).alias("kind"), "value").agg(F.count("*").alias("n")))
-    words = lines.select(F.explode(F.split(F.lower("t"), r"[\x20\x09-\x0D]+")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
-    useful = edges.filter("kind IS NOT NULL").groupBy("pattern").agg(F.count_distinct("value").alias("s")).filter(F.col("s") >= least_support)
-    places = cut(words.join(useful.select("pattern"), "pattern"))
+    # a pattern with fewer values than it needs to count is never good
+    useful = edges.groupBy("pattern").agg(F.count_distinct("value").alias("s")).filter(F.col("s") >= least_support)
+    places = cut(count_places(lines, useful.select("pattern")))
     new = score_graph(edges, places, rounds, least_pattern, least_support, least_score)
     seen = found.select("doc_id", "t_hash", F.explode("odd").alias("s")).withColumn("v", F.lower(F.col("s.value")))
     added = seen.join(new.select(F.col("value").alias("v"), F.col("kind").alias("k")), "v").distinct()

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .spans import apart, tagged, with_matches
+from .spans import tagged, with_apart, with_matches
 
 KINDS = ("assign", "access", "hex")
 # Same matches as the plain patterns, see pii.PATTERNS. Runs that the plain
@@ -146,7 +146,8 @@ def find_secrets(docs: DataFrame, max_false: float = 0.05, text: str = "text", i
     base = F.concat(tagged(assign, "assign", 0), tagged(F.col("access"), "access", 1), tagged(F.col("hex"), "hex", 2))
     found = found.select("doc_id", F.xxhash64("t").alias("t_hash"), base.alias("base"), "other")
     mixed = F.filter("other", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    found = cut(found.select("doc_id", "t_hash", "base", tagged(apart(mixed, F.col("base")), "random", 3).alias("other")))
+    found = with_apart(found.withColumn("other", tagged(mixed, "random", 3)), "other", "other", "base")
+    found = cut(found.select("doc_id", "t_hash", "base", "other"))
     strings = found.select("doc_id", "t_hash", F.explode("other").alias("s")).distinct()
     tested = battery(strings.withColumn("value", F.col("s.value"))).filter("p IS NOT NULL")
     tested = cut(tested.withColumn("band", F.floor(F.log2("n") * 2).cast("int")))
