@@ -1,4 +1,5 @@
 import os
+import textwrap
 
 import pytest
 
@@ -15,3 +16,28 @@ def test_whole_licenses_are_found(spark):
     got = {r[0]: r["license_id"] for r in license_scan.scan(spark.createDataFrame(some, "doc_id long, text string")).collect()}
     want = dict(enumerate(names.values()))
     assert got == {**want, **{100 + k: x for k, x in want.items()}, 200: None}
+
+
+def test_short_licenses_in_several_wrappings(spark):
+    seen, some, want = set(), [], {}
+    for name, text in license_scan.KNOWN:
+        if len(text) < 300 or name in seen:
+            continue
+        seen.add(name)
+        head = f"Copyright (c) 2021, {name} Authors\nAll rights reserved.\n\n"
+        shapes = [head + text, *[head + "\n".join(textwrap.fill(p, w) for p in text.split("\n\n")) for w in (60, 76)]]
+        shapes.append("\n".join(f" * {line}" for line in shapes[1].splitlines()))
+        for shape in shapes:
+            want[len(some)] = name
+            some.append((len(some), shape))
+    # a wrap that puts the word at the head of a line
+    some.append((len(some), license_scan._ISC.replace("above copyright", "above\ncopyright")))
+    want[len(some) - 1] = "ISC"
+    got = {r[0]: r["license_id"] for r in license_scan.scan(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    assert got == want and {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0", "0BSD", "MIT-0"} <= seen
+
+
+def test_known_texts_from_a_table(spark):
+    known = license_scan.known_digests(spark, spark.createDataFrame([("House-1.0", "You may read this. Nothing else.")], "license string, text string"))
+    docs = spark.createDataFrame([(1, "YOU MAY READ THIS; nothing else"), (2, "You may read")], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in license_scan.scan(docs, known).collect()} == {1: "House-1.0", 2: None}

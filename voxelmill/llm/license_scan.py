@@ -24,7 +24,7 @@ SPELLINGS = {
     "modelled": "modeled", "offence": "offense", "optimise": "optimize", "organisation": "organization",
     "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize",
     "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while",
-    "wilful": "willful", "owner": "holder", "https": "http", "noncommercial": "noncommercial",
+    "wilful": "willful", "owner": "holder", "https": "http",
 }
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS"'
@@ -45,23 +45,105 @@ _ISC = (
     "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
     "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+    "disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+)
+_BSD_3 = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission.\n\n"
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+    "arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial "
+    "applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must "
+    "not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment "
+    "in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and "
+    "must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, "
+    "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by "
+    "any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+    "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of "
+    "our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights "
+    f"to this software under copyright law.\n\n{_AS_IS}, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+    'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and '
+    "to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+    "following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and "
+    "the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+    "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language "
+    f"processor.\n\n{_AS_IS}, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE "
+    "DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
+    "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_PERMISSION = "provided that the above copyright notice and this permission notice appear in all copies."
+_OBSD = _ISC.replace("hereby granted, " + _PERMISSION, "hereby granted.")
+_MIT_0 = _MIT.replace(
+    ", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software.", ".",
+)
+#: Whole licences: id, names that may head the text, text.
+_TEXTS = (
+    ("MIT", ("MIT License", "The MIT License", "The MIT License (MIT)"), _MIT),
+    ("MIT-0", ("MIT No Attribution",), _MIT_0),
+    ("ISC", ("ISC License", "The ISC License"), _ISC),
+    ("ISC", ("ISC License", "The ISC License"), _ISC.replace("and/or distribute", "and distribute")),
+    ("0BSD", ("BSD Zero Clause License", "Zero-Clause BSD"), _OBSD),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "The 2-Clause BSD License"), _BSD + _BSD_END),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "The 3-Clause BSD License"), _BSD + _BSD_3 + _BSD_END),
+    ("Zlib", ("zlib License", "The zlib License"), _ZLIB),
+    ("Unlicense", ("The Unlicense", "Unlicense"), _UNLICENSE),
+    ("Unlicense", ("The Unlicense", "Unlicense"), _UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>"),
+    ("Unlicense", ("The Unlicense", "Unlicense"), _UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org/>"),
+    ("BSL-1.0", ("Boost Software License - Version 1.0 - August 17th, 2003",), _BOOST),
+)
+#: How licences are called in notices.
+_NAMES = (
+    ("MIT", "MIT License"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache 2.0 License"),
+    ("GPL-2.0", "GNU General Public License, version 2"), ("GPL-3.0", "GNU General Public License, version 3"), ("GPL-3.0", "GNU GPL v3"),
+    ("GPL-2.0", "GNU GPL v2"), ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"), ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"), ("MPL-2.0", "Mozilla Public License, version 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("Zlib", "zlib License"), ("Unlicense", "Unlicense"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"), ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+)
+_FORMS = (
+    "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This project is licensed under the {}.",
+    "This work is licensed under the {}.", "This software is licensed under the {}.", "This work is licensed under a {}.", "License: {}",
+)
+_IDS = sorted({i for i, _ in _NAMES} | {i for i, _, _ in _TEXTS} | {"GPL-2.0-only", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later"})
 #: (licence, text) of whole licences and of notices that stand on a line.
-KNOWN = (
-    ("MIT", _MIT),
-    ("MIT", "MIT License\n\n" + _MIT),
-    ("ISC", _ISC),
-    ("ISC", "ISC License\n\n" + _ISC),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+KNOWN = tuple(
+    [(i, t) for i, _, t in _TEXTS]
+    + [(i, f"{h}\n\n{t}") for i, heads, t in _TEXTS for h in heads]
+    + [(i, form.format(name)) for i, name in _NAMES for form in _FORMS]
+    + [(i.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {i}") for i in _IDS]
+)
+# A notice has a year, a sign or a place for them; other lines may begin with the word by the way they are wrapped.
+COPYRIGHT_LINE = (
+    r"(?m)^[\x20\x09#*/;%-]*(?:copyright\b[^\n]*(?:\(c\)|©|\b(?:19|20)[0-9]{2}\b|<year>|\[year\]|\[yyyy\])[^\n]*"
+    r"|(?:\(c\)|©)[\x20\x09]*(?:19|20)[0-9]{2}\b[^\n]*|all rights reserved[.]?[\x20\x09]*)$"
 )
-COPYRIGHT_LINE = r"(?m)^[\x20\x09]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
@@ -84,10 +166,10 @@ def with_spelling(text: Column) -> Column:
     return F.when(text.rlike(any_), fixed).otherwise(text)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | DataFrame = KNOWN) -> DataFrame:
     """(digest, n, license): a row for each known text; broadcast, as there are
-    as many as the caller lists."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
+    as many as the caller lists. known: pairs, or a table (license, text)."""
+    rows = known.select("license", "text") if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, text string")
     form = rows.select("license", canonical_lines(F.col("text")).alias("form"))
     form = form.select("license", F.translate(with_spelling(F.col("form")), "\n", " ").alias("form"))
     return form.groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("n")).agg(F.min("license").alias("license"))
@@ -135,10 +217,11 @@ def oracle_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     spell = "map([" + ",".join(map(quote, SPELLINGS)) + "],[" + ",".join(map(quote, SPELLINGS.values())) + "])"
     values = ",".join(f"({quote(a)},{quote(b)})" for a, b in known)
+    whole = ",".join(f"({quote(a)},{quote(d)})" for a, _, d in WHOLE)
     space = "' ' || chr(10)"
     lines = (
         "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), "
-        "'(?m)^[\\x20\\x09]*(?:copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g'), "
+        + quote(COPYRIGHT_LINE).replace("{", "{{").replace("}", "}}") + ", '', 'g'), "
         "'[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), ' ?\\n[\\n ]*', chr(10), 'g'), " + space + ")"
     ).replace("\\\\", "\\")
     words = "array_to_string(list_transform(string_split({0}, ' '), lambda w: coalesce(sp[w], w)), ' ')"
@@ -147,7 +230,8 @@ def oracle_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
 WITH s AS (SELECT {spell} AS sp),
 k AS (SELECT license, sha256(replace({form.format(lines.format("text"))}, chr(10), ' ')) AS digest
       FROM (VALUES {values}) v(license, text), s),
-kk AS (SELECT digest, min(license) AS license FROM k GROUP BY digest),
+w AS (SELECT license, digest FROM k UNION ALL SELECT * FROM (VALUES {whole}) x(license, digest)),
+kk AS (SELECT digest, min(license) AS license FROM w GROUP BY digest),
 m AS (SELECT map_from_entries(list((digest, license))) AS known FROM kk),
 d AS (SELECT doc_id, {form.format(lines.format("coalesce(text, '')"))} AS c FROM documents, s),
 f AS (SELECT doc_id, sha256(replace(c, chr(10), ' ')) AS text_digest,
