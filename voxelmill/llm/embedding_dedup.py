@@ -26,7 +26,6 @@ from .components import connected_components
 
 BLOCK = 1024
 CELL_ROWS = 192
-MOST_WORDS = 512
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -38,6 +37,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def codebook(points: np.ndarray, words: int, rng: np.random.Generator, passes: int = 12) -> np.ndarray:
     """k-means centres of points."""
+    if not points.shape[1]:
+        return np.zeros((1, 0))
     centres = points[rng.choice(len(points), min(words, len(points)), replace=False)].copy()
     for _ in range(passes):
         near = np.argmin((centres**2).sum(1) - 2 * points @ centres.T, axis=1)
@@ -48,12 +49,17 @@ def codebook(points: np.ndarray, words: int, rng: np.random.Generator, passes: i
     return np.unique(centres, axis=0)
 
 
-def move_costs(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def gaps(centres: np.ndarray) -> np.ndarray:
+    """Distances between codewords."""
+    return np.sqrt(np.maximum((centres**2).sum(1)[:, None] - 2 * centres @ centres.T + (centres**2).sum(1), 0))
+
+
+def move_costs(points: np.ndarray, centres: np.ndarray, gap: np.ndarray | None = None) -> np.ndarray:
     """For each point and codeword: the squared length of the shortest move (as
     the farthest of the bisecting planes bounds it) that makes it the nearest."""
     d = (points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)
     nearest = np.argmin(d, axis=1)
-    gap = np.sqrt(np.maximum((centres**2).sum(1)[:, None] - 2 * centres @ centres.T + (centres**2).sum(1), 0))
+    gap = gaps(centres) if gap is None else gap
     own = d[np.arange(len(d)), nearest]
     apart = gap[nearest]
     reach = np.where(apart > 0, (d - own[:, None]) / np.maximum(2 * apart, 1e-12), 0.0)
@@ -70,8 +76,9 @@ class MultiIndex:
 
     def __init__(self, sample: np.ndarray, words: int, least_cosine: float, recall: float, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.half = sample.shape[1] // 2
+        self.half = max(1, sample.shape[1] // 2)
         self.books = [codebook(part, words, rng) for part in (sample[:, : self.half], sample[:, self.half :])]
+        self.gaps = [gaps(b) for b in self.books]
         some = sample[rng.permutation(len(sample))[:2000]]
         noise = rng.standard_normal((4, *some.shape))
         at = []
@@ -90,7 +97,7 @@ class MultiIndex:
         return np.stack([np.argmin((b**2).sum(1) - 2 * p @ b.T, axis=1) for p, b in zip(self.halves(vectors), self.books, strict=True)], axis=1)
 
     def costs(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = (move_costs(p, c) for p, c in zip(self.halves(vectors), self.books, strict=True))
+        a, b = (move_costs(p, c, g) for p, c, g in zip(self.halves(vectors), self.books, self.gaps, strict=True))
         return a, b
 
     def visits(self, vectors: np.ndarray) -> list[list[int]]:
@@ -114,11 +121,11 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def find_links(vectors: DataFrame, index: MultiIndex, least_cosine: float) -> DataFrame:
-    """vectors (row, label, v: array) to rows (row, linked, root): linked counts
-    new links of `row` in one pair of blocks; (row, root) edges join the same
-    rows as the links do."""
+    """vectors (row, label, copies, v: array) to rows (row, linked, root): linked
+    counts new links of `row` in one pair of blocks, each as often as the other
+    side has copies; (row, root) edges join the same rows as the links do."""
     width = len(index.books[1])
-    kind = vectors.schema["v"].dataType.simpleString()
+    kind, label = (vectors.schema[c].dataType.simpleString() for c in ("v", "label"))
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,17 +135,17 @@ def find_links(vectors: DataFrame, index: MultiIndex, least_cosine: float) -> Da
                 cells = index.cells(v)
                 yield part.assign(cell=cells[:, 0] * width + cells[:, 1], visits=index.visits(v))
 
-    filed = cut(vectors.mapInPandas(file, f"row long, label int, v {kind}, cell long, visits array<long>"))
+    filed = cut(vectors.mapInPandas(file, f"row long, label {label}, copies long, v {kind}, cell long, visits array<long>"))
     home = filed.groupBy("label", "cell").agg(F.count("*").alias("n_home"))
     asked = filed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("n_asked"))
     parts = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
     sizes = cut(home.join(asked, ["label", "cell"]).select("label", "cell", parts("n_home").alias("hs"), parts("n_asked").alias("as")))
     spot = lambda salt, n: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = filed.select("row", "label", "v", F.explode("visits").alias("cell")).join(sizes, ["label", "cell"])
-    left = left.withColumn("a", spot(1, "as")).withColumn("h", span("hs")).select("label", "cell", "a", "h", "row", "v")
-    right = filed.select("row", "label", "v", "cell").join(sizes, ["label", "cell"])
-    right = right.withColumn("h", spot(2, "hs")).withColumn("a", span("as")).select(*[F.col(c).alias(c) for c in ("label", "cell", "a", "h", "row", "v")])
+    left = filed.select("row", "label", "copies", "v", F.explode("visits").alias("cell")).join(sizes, ["label", "cell"])
+    left = left.withColumn("a", spot(1, "as")).withColumn("h", span("hs")).select("label", "cell", "a", "h", "row", "copies", "v")
+    right = filed.select("row", "label", "copies", "v", "cell").join(sizes, ["label", "cell"])
+    right = right.withColumn("h", spot(2, "hs")).withColumn("a", span("as")).select(*[F.col(c).alias(c) for c in ("label", "cell", "a", "h", "row", "copies", "v")])
     stop = index.stop
 
     def compare(asks: pd.DataFrame, homes: pd.DataFrame) -> pd.DataFrame:
@@ -158,7 +165,10 @@ def find_links(vectors: DataFrame, index: MultiIndex, least_cosine: float) -> Da
         jj = np.searchsorted(keep, j)
         alone = ya[jj, cx[i, 0]] + yb[jj, cx[i, 1]] > stop
         rows = np.concatenate([rx, ry])
-        counts = np.concatenate([np.bincount(i, minlength=len(rx)), np.bincount(j[alone], minlength=len(ry))])
+        # counts are whole numbers far below 2^53, so sums in doubles are exact
+        of_x = np.bincount(i, homes["copies"].to_numpy(np.float64)[j], len(rx))
+        of_y = np.bincount(j[alone], asks["copies"].to_numpy(np.float64)[i[alone]], len(ry))
+        counts = np.concatenate([of_x, of_y]).astype(np.int64)
         root = _roots(rows, i, j + len(rx))
         used = (counts > 0) | (root != rows)
         return pd.DataFrame({"row": rows[used], "linked": counts[used], "root": root[used]})
@@ -190,41 +200,49 @@ def embedding_components(
 ) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id, kept.
 
-    Only vectors with equal labels that are not null are compared. Vectors that
-    are null, zero, of another length than most, or hold null or non-finite
-    components link with nothing. n_links counts other vectors within the
-    cosine; component_id is the smallest id reachable. Links found are exact;
-    `recall` of those at the very threshold are expected to be found, more of
-    the closer ones. The codebooks are fitted on a sample of at most sample_rows
-    vectors, every vector is filed and asked for. Rows that repeat an id are
-    linked as rows of their own and share the id's component. Empty tables give
-    no rows. Other columns aren't read.
+    Only vectors with equal labels (of any type) that are not null are compared.
+    Vectors that are null, zero, of another length than most, or hold null or
+    non-finite components link with nothing. n_links counts other vectors within
+    the cosine; component_id is the smallest id reachable. Links found are
+    exact; `recall` of those at the very threshold are expected to be found,
+    more of the closer ones. Vectors that are equal component by component (by
+    128 bits of hashes) are compared as one and count as often as they come. The
+    codebooks are fitted on a sample of at most sample_rows vectors and grow with
+    the square root of the largest label; every vector is filed and asked for.
+    Rows that repeat an id are linked as rows of their own and share the id's
+    component. Empty tables give no rows. Other columns aren't read.
     """
     # vectors travel as they are stored; each comparison scales them in double precision
     v = F.col(embedding) if vectors.schema[embedding].dataType.simpleString() == "array<float>" else F.col(embedding).cast("array<double>")
-    base = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(label).cast("int").alias("label"), v.alias("v"))
-    sized = base.groupBy(F.size("v").alias("d")).count().filter("d > 1").orderBy(F.desc("count"), "d").first()
+    base = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(label).alias("label"), v.alias("v"))
+    sized = base.groupBy(F.size("v").alias("d")).count().filter("d > 0").orderBy(F.desc("count"), "d").first()
     dims = sized["d"] if sized else 0
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = (F.size("v") == dims) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)
+    usable = usable & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    hashes = [F.when(usable, F.xxhash64(F.lit(k), "label", "v")).alias(f"h{k}") for k in (1, 2)]
+    base = base.select("vec_id", "label", "v", *hashes)
 
-    good = cut(base.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable).select(F.col("vec_id").alias("row"), "label", "v"))
-    count = good.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
+    copies = base.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(
+        F.min("vec_id").alias("row"), F.first("label").alias("label"), F.count("*").alias("copies"), F.first("v").alias("v")
+    )
+    nodes = cut(copies)
+    count = nodes.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
     if not count[0]:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    picked = good.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.3 * sample_rows / count[0]))).limit(sample_rows)
-    sample = [r.v for r in picked.select("v").collect()] or [r.v for r in good.select("v").limit(sample_rows).collect()]
+    picked = nodes.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.3 * sample_rows / count[0]))).limit(sample_rows)
+    sample = [r.v for r in picked.select("v").collect()] or [r.v for r in nodes.select("v").limit(sample_rows).collect()]
     sample = unit(np.array(sample, dtype=np.float64))
-    words = int(np.clip(np.sqrt(count[1] / CELL_ROWS), 2, MOST_WORDS))
+    words = max(2, int(np.sqrt(count[1] / CELL_ROWS)))
     index = MultiIndex(sample, words, least_cosine, recall, seed)
-    found = cut(find_links(good, index, least_cosine).groupBy("row", "root").agg(F.sum("linked").alias("linked")))
+    found = cut(find_links(nodes.select("row", "label", "copies", "v"), index, least_cosine).groupBy("row", "root").agg(F.sum("linked").alias("linked")))
     edges = found.filter("row <> root").select(F.col("row").alias("u"), F.col("root").alias("v"))
     parts = connected_components(edges)
     counts = found.groupBy("row").agg(F.sum("linked").alias("linked"))
-    ids = base.select("vec_id")
-    counted = ids.join(counts, ids["vec_id"] == counts["row"], "left").drop("row")
-    named = counted.join(parts, counted["vec_id"] == parts["node"], "left")
+    named = nodes.select("h1", "h2", "row", "copies").join(counts, "row", "left").join(parts, F.col("row") == parts["node"], "left")
+    links = F.coalesce("linked", F.lit(0)) + F.col("copies") - 1
+    named = cut(named.select("h1", "h2", links.alias("links"), F.coalesce("component", "row").alias("component")))
     component = F.coalesce("component", "vec_id")
-    return named.select(
-        "vec_id", F.coalesce("linked", F.lit(0)).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept")
+    return base.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left").select(
+        "vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept")
     )
