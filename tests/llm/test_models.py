@@ -67,6 +67,20 @@ def test_language_odd_cases(spark):
     assert {r["language"]["lang"] for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
+def test_languages_of_short_and_of_long_texts_are_learned(spark, monkeypatch):
+    rng = random.Random(9)
+    draw = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    some = [(k, draw("abcde", 4), "short") for k in range(200)] + [(1000 + k, draw("fghij", 12_000), "long") for k in range(8)] + [(2000 + k, draw("klmno", 60), "plain") for k in range(200)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.learn(docs, per_language=50, sample_chars=6_000_000)).collect()
+    assert all(r["language"]["lang"] == r["lang"] for r in got)
+    monkeypatch.setattr(language_id, "fit", lambda texts, langs: language_id.Model(sorted(set(langs)), None, None))
+    many = spark.range(400).selectExpr("id doc_id", "concat('word ', id) text", "concat('l', id % 300) lang")
+    assert len(language_id.learn(many, per_language=2).labels) == 300 - sum(all(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(k, 400, 300)) for k in range(300))
+    with pytest.raises(ValueError):
+        language_id.learn(many, languages=100)
+
+
 def test_language_of_a_very_long_text(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).select("text", "lang").collect()
     model = language_id.fit([r[0] for r in docs], [r[1] for r in docs], words_most=20_000, passes=10)
@@ -114,6 +128,26 @@ def test_embedding_recall_and_links(spark):
     assert embedding_dedup.embedding_components(none).count() == 0
 
 
+@pytest.mark.parametrize("label", ["string", "long", "double"])
+def test_embedding_labels_of_any_type_and_copies(spark, label):
+    rng = np.random.default_rng(5)
+    names = {"string": ["a", "b"], "long": [1 << 40, 7], "double": [0.5, 1.5]}[label]
+    base = rng.normal(size=(40, 16))
+    rows = [(k, base[k].tolist(), names[k % 2]) for k in range(40)]
+    rows += [(100 + k, base[0].tolist(), names[0]) for k in range(200)] + [(300 + k, (base[0] * (1 + 1e-3 * rng.normal(size=16))).tolist(), names[0]) for k in range(5)]
+    rows += [(400, base[0].tolist(), names[1]), (401, base[0].tolist(), None)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {label}").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_components(df).collect()}
+    assert all(got[k] == (205, 0) for k in [0, *range(100, 300), *range(300, 305)])
+    assert all(got[k] == (0, k) for k in [*range(1, 40), 400, 401])
+
+
+def test_embedding_of_one_component(spark):
+    rows = [(1, [2.0], 1), (2, [3.0], 1), (3, [-1.0], 1), (4, [0.0], 1), (5, None, 1), (6, [1.0], 2)]
+    got = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+
+
 def test_move_costs_are_bounds():
     rng = np.random.default_rng(2)
     centres, x = rng.normal(size=(12, 8)), rng.normal(size=(200, 8))

@@ -31,7 +31,6 @@ ORDERS = (2, 3, 4)
 SEGMENT = 64
 SLICE = 1 << 20
 UNKNOWN = "und"
-LONGEST = 50_000
 _letters: np.ndarray | None = None
 
 
@@ -179,10 +178,16 @@ def fit(texts: list[str], langs: list[str], words_most: int = 160_000, passes: i
     words = words_of(texts)
     gold = np.array([number[x] for x in langs])[words.text] if len(words.text) else np.zeros(0, np.int64)
     length = 32
-    starts = np.arange(0, max(1, len(gold) - length), length)
-    starts = starts[words.text[starts] == words.text[starts + length - 1]] if len(gold) >= length else np.zeros(0, np.int64)
-    starts = rng.permutation(starts)[: words_most // length]
-    rows = starts[:, None] + np.arange(length)
+    # windows run over the words of one language, text after text; a language
+    # with fewer words than a window repeats them
+    windows = []
+    for k in range(len(labels)):
+        own = np.flatnonzero(gold == k)
+        if len(own):
+            at = np.arange(0, max(1, len(own) - length + 1), length)[:, None] + np.arange(length)
+            windows.append(own[at % len(own)])
+    rows = np.concatenate(windows) if windows else np.zeros((0, length), np.int64)
+    rows = rng.permutation(rows)[: words_most // length]
     third = np.arange(0, len(rows), 3)
     rows[third, length // 2 :] = rows[rng.permutation(third), length // 2 :]
     flat = rows.ravel()
@@ -301,19 +306,29 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = 250, text: str = "text", id: str = "doc_id", lang: str = "lang") -> Model:
-    """Fit on about per_language documents of each language (a documented bound:
-    at most twice as many, of at most LONGEST code points each, so that the
-    sample stays small), picked by a hash of the id among those with a language
-    that aren't held out."""
-    rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
-    rows = rows.filter(F.length("t") <= LONGEST)
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(200).collect()}
+def learn(
+    docs: DataFrame, per_language: int = 250, languages: int = 2000, sample_chars: int = 64_000_000, text: str = "text", id: str = "doc_id", lang: str = "lang"
+) -> Model:
+    """Fit on about per_language documents of each language, picked by a hash of
+    the id among those with a language that aren't held out.
+
+    Documented bounds of the sample: at most twice per_language documents of each
+    language and sample_chars code points in all, of a longer text a part from a
+    place given by the hash. More than `languages` different labels are an
+    error, as then the labels are hardly languages.
+    """
+    rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(languages + 1).collect()}
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages")
     if not counts:
         return Model([], np.zeros((len(ORDERS) + 1, (1 << TABLE_BITS) + 1, 0), np.float32), np.zeros((0, 0)))
+    longest = sample_chars // (2 * per_language * len(counts))
     spot = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.coalesce(*[F.when(F.col("l") == k, F.lit(min(1.0, 1.5 * per_language / n))) for k, n in counts.items()], F.lit(0.0))
-    picked = rows.filter(spot < share).limit(2 * per_language * len(counts)).select("i", "t", "l").collect()
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n))]), F.col("l"))
+    over = F.greatest(F.length("t") - longest, F.lit(0)) + 1
+    part = F.substring("t", (F.pmod(F.xxhash64("i", F.lit(1)), over.cast("long")) + 1).cast("int"), F.lit(longest))
+    picked = rows.filter(spot < share).limit(2 * per_language * len(counts)).select("i", part.alias("t"), "l").collect()
     picked = sorted(picked, key=lambda r: (r["l"], str(r["i"]), r["t"]))
     return fit([r["t"] for r in picked], [r["l"] for r in picked])
 
