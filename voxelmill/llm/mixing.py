@@ -1,13 +1,12 @@
 """Mixing sources to target weights by drawing fixed-length blocks.
 
 Each source is one stream of words, cut into blocks of `block_words`. The mix is
-a row of slots. A slot's source comes from a stratified multinomial draw: slot g
-is put at a pseudorandom place of the whole row, and the sources' shares of that
-row are exact, so the counts of each output shard are multinomial, given totals
-that meet the targets. The j-th slot of a source maps to a block through that
-source's pseudorandom index permutation, one for each pass over the source, and
-slots and blocks are joined by (source, block). All of it is DataFrame
-expressions; only sizes and block numbers are shuffled.
+a row of slots, cut into output shards. Each shard's source counts are drawn
+multinomially; what a source is drawn beyond its target is drawn again from what
+the others still need, so the totals meet the targets. The j-th slot of a source
+maps to a block through that source's pseudorandom index permutation, one for
+each pass over the source, and slots and blocks are joined by (source, block).
+All of it is DataFrame expressions; only sizes and block numbers are shuffled.
 """
 
 from __future__ import annotations
@@ -74,8 +73,62 @@ def source_targets(sized: DataFrame, max_passes: float = 3.0, weights: tuple[int
     return ranked.select("source", "n", "source_size", target.alias("target"))
 
 
-def mix_plan(targets: DataFrame, block_words: int, shard_slots: int = 65_536, seed: int = 0) -> DataFrame:
-    """The slots: n (source number), shard, place, pass_no, block, words."""
+def _drawn(open_: DataFrame, need: DataFrame, total: int) -> DataFrame:
+    """open_ (slot, shard, x: 0 to total - 1) with n, the source in whose part
+    of 0..total-1 x lies, and j, the slot's number among the source's slots.
+    need: n, had (slots it has already), want (slots it still needs, which sum
+    to total)."""
+    step = max(1, -(-total // 1024))
+    parts = running_sum(need.filter("want > 0"), [F.col("n")], F.col("want"), "low", inclusive=False)
+    bucket = lambda c: F.floor(c / F.lit(step))
+    wide = parts.withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("low") + F.col("want") - 1))))
+    hit = open_.withColumn("bucket", bucket(F.col("x"))).join(wide, "bucket")
+    hit = cut(hit.filter((F.col("x") >= F.col("low")) & (F.col("x") < F.col("low") + F.col("want"))).select("slot", "shard", "n", "had", "want"))
+    # the multinomial counts of each shard, and where each begins in its source
+    counts = running_sum(hit.groupBy("n", "shard").agg(F.count("*").alias("k")), [F.col("n"), F.col("shard")], F.col("k"), "upto", inclusive=False)
+    counts = cut(counts)
+    counts = counts.join(counts.groupBy("n").agg(F.min("upto").alias("base")), "n").select("n", "shard", (F.col("upto") - F.col("base")).alias("begin"))
+    # at most shard_slots rows in each
+    inside = F.row_number().over(Window.partitionBy("n", "shard").orderBy("slot")) - 1
+    placed = hit.withColumn("inside", inside).join(counts, ["n", "shard"])
+    return cut(placed.select("slot", "shard", "n", (F.col("had") + F.col("begin") + F.col("inside")).alias("j"), (F.col("had") + F.col("want")).alias("most")))
+
+
+def draw_slots(need: DataFrame, shard_slots: int, seed: int, rounds: int = 2) -> DataFrame:
+    """(slot, shard, n, j) for sources that need `want` slots (n, want).
+
+    Every shard's slots are drawn from the sources by their shares, so a shard's
+    counts are multinomial. Slots drawn beyond what their source needs, about the
+    square root of all, are the last ones; they are drawn again from what is
+    still needed, and after `rounds` draws the few that are left are handed out
+    in order, so that each source gets just what it needs.
+    """
+    spark = need.sparkSession
+    need = cut(need.select("n", F.lit(0).cast("long").alias("had"), F.col("want").cast("long").alias("want")))
+    total = need.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    open_ = spark.range(0, total, 1, parts).select(F.col("id").alias("slot"), F.floor(F.col("id") / shard_slots).alias("shard"))
+    slots = None
+    for r in range(rounds + 1):
+        if r < rounds:
+            open_ = open_.withColumn("x", F.pmod(F.xxhash64(F.lit(seed), F.lit(r), "slot"), F.lit(max(1, total))))
+        else:
+            open_ = dense_index(open_, [F.col("slot")], "x")
+        drawn = _drawn(open_, need, total)
+        taken = drawn.filter("j < most")
+        slots = taken.select("slot", "shard", "n", "j") if slots is None else slots.union(taken.select("slot", "shard", "n", "j"))
+        got = taken.groupBy(F.col("n").alias("g")).agg(F.count("*").alias("got"))
+        need = need.join(got, need["n"] == got["g"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
+        need = cut(need.select("n", (F.col("had") + F.col("got")).alias("had"), (F.col("want") - F.col("got")).alias("want")))
+        total = need.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0]
+        if not total:
+            break
+        open_ = drawn.filter("j >= most").select("slot", "shard")
+    return slots
+
+
+def mix_plan(targets: DataFrame, block_words: int, shard_slots: int = 8192, seed: int = 0) -> DataFrame:
+    """The mix in order: slot, shard, n (source number), pass_no, block, words."""
     size, goal = F.col("source_size"), F.round("target").cast("long")
     full = F.floor(goal / F.greatest(size, F.lit(1))).cast("long")
     rest = goal - full * size
@@ -85,25 +138,19 @@ def mix_plan(targets: DataFrame, block_words: int, shard_slots: int = 65_536, se
         full.alias("full"),
         rest.alias("rest"),
     )
-    slots = F.col("full") * F.col("blocks") + F.ceil(F.col("rest") / F.lit(block_words)).cast("long")
-    plan = cut(running_sum(plan.withColumn("slots", slots), [F.col("n")], F.col("slots"), "before", inclusive=False))
-    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    step = 16_384
-    runs = plan.filter("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / step))))
-    # a fixed number of partitions: the rows are small here, what they become isn't
-    runs = runs.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n", "run")
-    first = F.col("run") * step
-    each = runs.withColumn("j", F.explode(F.sequence(first, F.least(first + (step - 1), F.col("slots") - 1))))
+    want = F.col("full") * F.col("blocks") + F.ceil(F.col("rest") / F.lit(block_words)).cast("long")
+    each = draw_slots(plan.select("n", want.alias("want")), shard_slots, seed).join(plan, "n")
     pass_no = F.floor(F.col("j") / F.col("blocks")).cast("long")
-    rank = F.col("j") - pass_no * F.col("blocks")
-    each = each.withColumn("pass_no", pass_no).withColumn("rank", rank)
+    each = each.withColumn("pass_no", pass_no).withColumn("rank", F.col("j") - F.col("pass_no") * F.col("blocks"))
     last = (F.col("pass_no") == F.col("full")) & ((F.col("rank") + 1) * block_words > F.col("rest"))
     words = F.when(last, F.col("rest") - F.col("rank") * block_words).otherwise(F.lit(block_words)).cast("long")
-    each = each.select("n", "pass_no", "rank", "blocks", words.alias("words"), (F.col("before") + F.col("j")).alias("slot"))
-    place = permuted(F.col("slot"), F.lit(max(1, total)).cast("long"), F.lit(seed))
     block = permuted(F.col("rank"), F.col("blocks"), F.struct(F.lit(seed), F.col("n"), F.col("pass_no")))
-    each = each.select("n", "pass_no", "words", place.alias("place"), block.alias("block"))
-    return each.withColumn("shard", F.floor(F.col("place") / shard_slots).cast("long"))
+    return each.select("slot", "shard", "n", "pass_no", block.alias("block"), words.alias("words"))
+
+
+def shard_counts(plan: DataFrame) -> DataFrame:
+    """(shard, n, slots) of a plan: how often each output shard draws each source."""
+    return plan.groupBy("shard", "n").agg(F.count("*").alias("slots"))
 
 
 def pack_blocks(sized: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
@@ -122,7 +169,8 @@ def pack_blocks(sized: DataFrame, targets: DataFrame, block_words: int) -> DataF
 
 def mix(docs: DataFrame, block_words: int = 128, seed: int = 0, text: str = "text", id: str = "doc_id", source: str = "source", key: Column | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, taken,
-    and `key`, a column of docs, if one is given.
+    first_shard and last_shard (of those that take words of the row; null if
+    none does), and `key`, a column of docs, if one is given.
 
     taken: words of the row that the mix takes, repeats counted; at most 3 times
     its size, as a source is passed at most 3 times. A source's taken words sum
@@ -140,7 +188,7 @@ def mix(docs: DataFrame, block_words: int = 128, seed: int = 0, text: str = "tex
     )
     targets = cut(source_targets(sized))
     rows = cut(pack_blocks(sized, targets, block_words))
-    drawn = mix_plan(targets, block_words, seed=seed).groupBy("n", "block").agg(F.sum("words").alias("whole"), F.count("*").alias("times"), F.min("words").alias("least"))
+    drawn = mix_plan(targets, block_words, seed=seed).groupBy("n", "block").agg(F.sum("words").alias("whole"), F.count("*").alias("times"), F.min("words").alias("least"), F.min("shard").alias("lo_shard"), F.max("shard").alias("hi_shard"))
     b = F.lit(block_words).cast("long")
     end = F.col("first_word") + F.col("size")
     parts = rows.filter("size > 0").withColumn(
@@ -154,11 +202,12 @@ def mix(docs: DataFrame, block_words: int = 128, seed: int = 0, text: str = "tex
     words = (F.col("times") - cut_short.cast("long")) * (F.col("hi") - F.col("lo")) + F.when(
         cut_short, F.greatest(F.least("hi", "least") - F.col("lo"), F.lit(0))
     ).otherwise(0)
-    got = parts.join(drawn, ["n", "block"]).groupBy("doc_id", "n", "first_word").agg(F.sum(words).alias("words_taken"))
-    got = got.select(F.col("doc_id").alias("g_id"), F.col("n").alias("g_n"), F.col("first_word").alias("g_first"), "words_taken")
+    got = parts.join(drawn, ["n", "block"]).withColumn("w", words).filter("w > 0").groupBy("doc_id", "n", "first_word")
+    got = got.agg(F.sum("w").alias("words_taken"), F.min("lo_shard").alias("first_shard"), F.max("hi_shard").alias("last_shard"))
+    got = got.select(F.col("doc_id").alias("g_id"), F.col("n").alias("g_n"), F.col("first_word").alias("g_first"), "words_taken", "first_shard", "last_shard")
     same = (F.col("n") == F.col("g_n")) & F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("first_word") == F.col("g_first"))
     return rows.join(got, same & (F.col("size") > 0), "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("words_taken", F.lit(0)).cast("long").alias("taken"), *extra
+        "doc_id", "size", "source_size", "target", F.coalesce("words_taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard", *extra
     )
 
 
