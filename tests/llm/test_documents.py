@@ -114,6 +114,28 @@ def test_simhash_links_of_crowds(spark, crowd):
     assert got == want
 
 
+def test_pivot_tables_find_all_close_pairs_and_discard_others(spark):
+    rng = np.random.default_rng(11)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    prints = set(base)
+    for b in base:
+        for n in (1, 2, 3, 4, 6, 8):
+            for _ in range(6):
+                x = b
+                for bit in rng.choice(64, n, replace=False):
+                    x ^= 1 << int(bit)
+                prints.add(x)
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
+    refs = simhash.references()
+    table = spark.createDataFrame([(x,) for x in signed], "fp long").withColumn("row", simhash.pivot_row(F.col("fp"), refs))
+    keyed = table.select("fp", "row", F.explode(simhash.pivot_keys(F.col("row"))).alias("k")).select("fp", "row", "k.groups", "k.value")
+    met = {tuple(r) for r in simhash.near_pairs(keyed, 64, 0).distinct().collect()}
+    left = {tuple(r) for r in simhash.near_pairs(keyed, 2, len(refs)).distinct().collect()}
+    bits = lambda u, v: ((u ^ v) & ((1 << 64) - 1)).bit_count()
+    close = {(u, v) for k, u in enumerate(signed) for v in signed[k + 1 :] if bits(u, v) <= 2}
+    assert close <= left < met and len(met - left) > len(left - close)
+
+
 def test_permutations(spark):
     sizes = [1, 2, 3, 7, 64, 100, 1000]
     rows = spark.createDataFrame([(n, k, i) for n in sizes for k in range(3) for i in range(n)], "n long, k long, i long")
@@ -152,6 +174,24 @@ def test_mix(spark):
     assert again.columns == docs.columns and max(Counter(r["doc_id"] for r in again.filter("doc_id <> 5").collect()).values()) <= 3
 
 
+def test_shard_counts_are_multinomial_and_totals_exact(spark):
+    want = {0: 6000, 1: 3000, 2: 990, 3: 10, 4: 0}
+    need = spark.createDataFrame(list(want.items()), "n long, want long")
+    seen = []
+    for seed in range(3):
+        slots = mixing.draw_slots(need, 500, seed).collect()
+        assert sorted(r["slot"] for r in slots) == list(range(10_000))
+        by = Counter((r["shard"], r["n"]) for r in slots)
+        assert Counter(r["n"] for r in slots) == Counter({k: v for k, v in want.items() if v})
+        for n, v in want.items():
+            assert sorted(r["j"] for r in slots if r["n"] == n) == list(range(v))
+        # chi-squared of 19 shards (the last ones take what is left) over the three large sources
+        chi = sum((by[(s, n)] - 500 * want[n] / 1e4) ** 2 / (500 * want[n] / 1e4) for s in range(16) for n in range(3))
+        assert 12 < chi < 60
+        seen.append(tuple(sorted(by.items())))
+    assert len(set(seen)) == 3
+
+
 def test_source_targets_stop_at_three_times(spark):
     sized = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 1), (None, 0)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sized).collect()}

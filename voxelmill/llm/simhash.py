@@ -2,21 +2,22 @@
 
 Fingerprints: 64 bits over XXH64 (seed 42) of word shingles. Equal fingerprints
 are one node. Each node gets a row of distances to reference fingerprints
-(pivots). Two fingerprints within `radius` bits differ by at most `radius` in
-every coordinate of that table, so a pair whose largest coordinate difference is
-over `radius` is discarded before its bits are compared.
-
-The pairs put to that test come from the table as well. The references include
-one mask for each block of bits with all its single-bit neighbours; the
-distances to those fix the block, so equal distances on two of the
-radius + 2 blocks are an equality key, and fingerprints within `radius` bits
-share a key of at least two blocks. A key with up to `crowd` nodes is joined
-with itself. In a crowded key, as around a family of near copies, no pairs are
-made: each node is put under every fingerprint within radius / 2 bits of it,
-and those that meet under one such centre are within `radius` (for radius 2 the
-two statements are the same thing, so no link is lost). The smallest
-member of a centre stands for its links, 65 rows a node at most, whatever the
-family's size.
+(pivots): zero, a mask for each block of two bits, and pseudorandom ones. Two
+fingerprints within `radius` bits differ by at most `radius` in every coordinate
+of that table, so a pair whose largest coordinate difference is over `radius` is
+discarded, and the bits of the others are compared.
+
+The table also says which pairs to look at. The distances to zero and to a mask
+tell how many bits of the mask's block are set, and bits that differ in at most
+two places change at most two blocks. The blocks' coordinates are put in six
+groups, so fingerprints within two bits agree in all coordinates of at least
+four groups, and each choice of four groups is an equality key (about 32 bits of
+information). A key with up to `crowd` nodes is joined with itself. In a crowded
+key, as around a family of near copies, no pairs are made: each node is put
+under every fingerprint within radius / 2 bits of it, and those that meet under
+one such centre are within `radius` (for radius 2 the two statements are the
+same thing, so no link is lost). The smallest member of a centre stands for its
+links, 65 rows a node at most, whatever the family's size.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from pyspark.sql.types import LongType
 from ..session import cut
 from .components import connected_components
 
-BITS, BLOCKS, SEED = 64, 4, 42
+BITS, BLOCK, GROUPS, SEED = 64, 2, 6, 42
+BLOCKS = BITS // BLOCK
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -61,11 +63,11 @@ def fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
 
-def references(count: int = 16) -> list[int]:
-    """Fixed reference fingerprints: 0, the byte masks, then pseudorandom ones."""
-    masks = [0] + [0xFF << (8 * b) for b in range(8)]
-    random = [xxhash.xxh64_intdigest(f"reference {k}".encode(), SEED) for k in range(max(0, count - len(masks)))]
-    return [x - (1 << 64) if x >> 63 else x for x in (masks + random)[:count]]
+def references(extra: int = 8) -> list[int]:
+    """Fixed reference fingerprints: 0, a mask for each block, then `extra` pseudorandom ones."""
+    masks = [0] + [((1 << BLOCK) - 1) << (BLOCK * b) for b in range(BLOCKS)]
+    random = [xxhash.xxh64_intdigest(f"reference {k}".encode(), SEED) for k in range(extra)]
+    return [x - (1 << 64) if x >> 63 else x for x in masks + random]
 
 
 def pivot_row(fp: Column, pivots: list[int]) -> Column:
@@ -73,34 +75,43 @@ def pivot_row(fp: Column, pivots: list[int]) -> Column:
     return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots])
 
 
-def block_keys(fp: Column) -> Column:
-    """(blocks, value) of each pair of 16-bit blocks."""
-    width = BITS // BLOCKS
-    keys = []
-    for n, pair in enumerate(combinations(range(BLOCKS), 2)):
-        mask = sum(((1 << width) - 1) << (width * b) for b in pair)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(n).cast("tinyint").alias("blocks"), fp.bitwiseAND(F.lit(mask)).alias("value")))
+def pivot_keys(row: Column) -> Column:
+    """(groups, value) for each choice of all but two groups of block coordinates."""
+    base = BLOCK + 1
+    # bits set in block b, from the distances to zero and to the block's mask
+    held = lambda b: ((row[0] - row[b + 1] + BLOCK) / BLOCK).cast("long")
+    group = [sum((held(b) * base**b for b in range(g + GROUPS, BLOCKS, GROUPS)), held(g) * base**g) for g in range(GROUPS)]
+    keys = [
+        F.struct(F.lit(n).cast("tinyint").alias("groups"), sum((group[g] for g in some[1:]), group[some[0]]).alias("value"))
+        for n, some in enumerate(combinations(range(GROUPS), GROUPS - 2))
+    ]
     return F.array(*keys)
 
 
-def link_fingerprints(nodes: DataFrame, radius: int = 2, pivots: int = 16, crowd: int = 32) -> DataFrame:
+def near_pairs(keyed: DataFrame, radius: int, coordinates: int) -> DataFrame:
+    """Pairs (u, v) of keyed (groups, value, fp, row) that share a key and are
+    not discarded by the table."""
+    left = keyed.select("groups", "value", F.col("fp").alias("u"), F.col("row").alias("ru"))
+    right = keyed.select("groups", "value", F.col("fp").alias("v"), F.col("row").alias("rv"))
+    pairs = left.join(right, ["groups", "value"]).filter("u < v")
+    for k in range(coordinates):
+        pairs = pairs.filter(F.abs(F.col("ru")[k] - F.col("rv")[k]) <= radius)
+    return pairs.select("u", "v")
+
+
+def link_fingerprints(nodes: DataFrame, radius: int = 2, extra: int = 8, crowd: int = 32) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints `fp` of nodes just as
     all pairs within `radius` (2) bits do."""
     if radius != 2:
-        raise ValueError("blocks and centres are laid out for a radius of 2 bits")
-    refs = references(pivots)
-    keyed = nodes.select("fp", F.explode(block_keys(F.col("fp"))).alias("k")).select("fp", "k.blocks", "k.value")
-    sizes = keyed.groupBy("blocks", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(keyed.join(sizes, ["blocks", "value"]))
+        raise ValueError("groups and centres are laid out for a radius of 2 bits")
+    refs = references(extra)
+    table = nodes.select("fp", pivot_row(F.col("fp"), refs).alias("row"))
+    keyed = table.select("fp", F.explode(pivot_keys(F.col("row"))).alias("k")).select("fp", "k.groups", "k.value")
+    sizes = keyed.groupBy("groups", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(keyed.join(sizes, ["groups", "value"]))
 
     small = shared.filter(F.col("n") <= crowd).withColumn("row", pivot_row(F.col("fp"), refs))
-    left = small.select("blocks", "value", F.col("fp").alias("u"), F.col("row").alias("ru"))
-    right = small.select("blocks", "value", F.col("fp").alias("v"), F.col("row").alias("rv"))
-    pairs = left.join(right, ["blocks", "value"]).filter("u < v")
-    for k in range(len(refs)):
-        pairs = pairs.filter(F.abs(F.col("ru")[k] - F.col("rv")[k]) <= radius)
-    near = pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).select("u", "v")
+    near = near_pairs(small, radius, len(refs)).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - ((1 << 64) if b == 63 else 0)) for b in range(BITS)])
     crowded = shared.filter(F.col("n") > crowd).select("fp").distinct()
