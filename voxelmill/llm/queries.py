@@ -16,7 +16,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     model = chat_format.RoleModel.learn(turns.filter(~language_id.held_out(F.col("conv_id"))))
     found = chat_format.render(chat_format.recover_roles(turns.drop("role"), model))
-    return found.select("conv_id", "turn", "role", "rendered")
+    return found.select("conv_id", "turn", "part", "role", "rendered")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
