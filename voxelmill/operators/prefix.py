@@ -41,3 +41,11 @@ def running_sum(df: DataFrame, order: list[Column], value: Column, out: str, inc
 def dense_index(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """df with `out`: 0, 1, 2, ... in `order`."""
     return running_sum(df, order, F.lit(1).cast("long"), out, inclusive=False)
+
+
+def group_index(df: DataFrame, group: str | list[str], order: list[Column], out: str) -> DataFrame:
+    """df with `out`: 0, 1, 2, ... in `order` within each group, whatever a group's size."""
+    keys = [group] if isinstance(group, str) else group
+    placed = cut(dense_index(df, [*map(F.col, keys), *order], "__at"))
+    first = placed.groupBy(*keys).agg(F.min("__at").alias("__first"))
+    return placed.join(first, keys).select(*df.columns, (F.col("__at") - F.col("__first")).alias(out))
