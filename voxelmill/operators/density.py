@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,13 +72,22 @@ def in_cylinder_domain(x: Column, y: Column, z: Column, centre: float, inner: fl
     return z.between(low - tol, high + tol) & (r2 >= inner * inner - tol) & (r2 <= outer * outer + tol)
 
 
-def wavy_density(x: Column, y: Column, z: Column, centre: float, outer: float, height: float) -> Column:
-    """A smooth analytic field in 0.001..1 with radial, angular and axial waves, to three decimals."""
+# Fixed values of the published field: its level, and the weights of its four waves.
+LEVEL, WAVES = 0.52, (0.23, 0.18, 0.11, 0.08)
+
+
+def wavy_density(x: Column, y: Column, z: Column, centre: float, inner: float, outer: float, height: float) -> Column:
+    """The analytic field on voxels: four waves over the angle, the share of the
+    wall between the radii and the share of the height, scaled to 0.001..1, to
+    three decimals; 0 for voxels outside the radii."""
     dx, dy = x + 0.5 - centre, y + 0.5 - centre
-    r, theta, h = F.sqrt(dx * dx + dy * dy) / outer, F.atan2(dy, dx), (z + 0.5) / height
-    wave = F.sin(r * 9.0) * 0.3 + F.cos(theta * 3.0) * 0.25 + F.sin(h * 6.0) * 0.2 + F.cos(r * 4.0 + theta * 2.0) * 0.15 + F.sin(h * 3.0 - theta) * 0.1
-    share = F.greatest(F.least((wave + 1.0) / 2.0, F.lit(1.0)), F.lit(0.0))
-    return F.round(share * 0.999 + 0.001, 3)
+    unit = lambda v: F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0))
+    r = unit((F.sqrt(dx * dx + dy * dy) - inner) / max(outer - inner, 1e-6))
+    h, t = unit(z / max(height - 1, 1.0)), F.atan2(dy, dx)
+    a, b, c, d = WAVES
+    wave = F.sin(3.0 * t + 5.5 * h) * a + F.cos(2 * math.pi * r) * b + F.sin(7.0 * r - 4.0 * h) * c + F.cos(9.0 * t * r + 2.5 * h) * d
+    share = unit((wave + sum(WAVES)) / (2 * sum(WAVES)))
+    return F.when(in_annulus(x, y, centre, inner, outer), F.round(share * 0.999 + 0.001, 3)).otherwise(0.0)
 
 
 def moments(df: DataFrame, keep: Column) -> DataFrame:

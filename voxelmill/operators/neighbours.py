@@ -33,30 +33,35 @@ def cube_edge(seeds: DataFrame, per_cube: float = 2.0) -> float:
     return max((sides[0] * sides[1] * sides[2] * per_cube / max(1, ends[0])) ** (1 / 3), max(sides) * 1e-3)
 
 
-def nearest_seed(points: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> DataFrame:
+def nearest_seed(points: DataFrame, seeds: DataFrame, max_rounds: int = 64, group: list[str] | None = None) -> DataFrame:
     """points (point_id, x, y, z) and seeds (seed_id, x, y, z) to point_id,
-    seed_id, d2. Ties go to the smaller seed_id. Without seeds: no rows."""
+    seed_id, d2; with `group`, columns of both, only seeds of the point's group
+    count, and points of groups without seeds give no rows. Ties go to the
+    smaller seed_id. Without seeds: no rows."""
+    own = group or []
     h = cube_edge(seeds)
-    placed = cut(seeds.select(F.col("seed_id").cast("long").alias("seed_id"), *[F.col(a).cast("double").alias(f"s{a}") for a in AXES]))
+    placed = cut(seeds.select(*own, F.col("seed_id").cast("long").alias("seed_id"), *[F.col(a).cast("double").alias(f"s{a}") for a in AXES]))
     none = F.lit(None).cast("struct<d2:double,seed_id:bigint>").alias("best")
-    open_ = points.select("point_id", *[F.col(a).cast("double").alias(f"p{a}") for a in AXES], none)
+    open_ = points.select(*own, "point_id", *[F.col(a).cast("double").alias(f"p{a}") for a in AXES], none)
     if placed.isEmpty():
-        return open_.select("point_id", "best.seed_id", "best.d2").limit(0)
+        return open_.select(*own, "point_id", "best.seed_id", "best.d2").limit(0)
+    if own:
+        open_ = open_.join(placed.select(*own).distinct(), own, "left_semi")
     done = []
     for k in range(max_rounds):
         edge = h * 2.0**k
         cube = lambda p, edge=edge: {a: F.floor(F.col(f"{p}{a}") / edge).cast("long") for a in AXES}
         asked = open_.withColumn("o", F.explode(_about()))
-        asked = asked.select("point_id", *[f"p{a}" for a in AXES], *[(c + F.col(f"o.d{a}")).alias(f"c{a}") for a, c in cube("p").items()])
+        asked = asked.select(*own, "point_id", *[f"p{a}" for a in AXES], *[(c + F.col(f"o.d{a}")).alias(f"c{a}") for a, c in cube("p").items()])
         there = placed.select("*", *[c.alias(f"c{a}") for a, c in cube("s").items()])
         pair = F.struct(distance2("p", "s").alias("d2"), "seed_id")
-        met = asked.join(there, [f"c{a}" for a in AXES]).groupBy("point_id").agg(F.min(pair).alias("new"))
+        met = asked.join(there, [*own, *[f"c{a}" for a in AXES]]).groupBy("point_id").agg(F.min(pair).alias("new"))
         merged = open_.join(met, "point_id", "left").withColumn("best", F.least("best", "new")).drop("new")
         # how far a point is, at least, from what is outside the 27 cubes
         off = [F.pmod(F.col(f"p{a}"), F.lit(edge)) for a in AXES]
         reach = F.least(*[F.least(o, edge - o) for o in off]) + edge
         merged = cut(merged.withColumn("ok", F.coalesce(F.sqrt("best.d2") < reach * (1 - 1e-9), F.lit(False))))
-        done.append(merged.filter("ok").select("point_id", "best.seed_id", "best.d2"))
+        done.append(merged.filter("ok").select(*own, "point_id", "best.seed_id", "best.d2"))
         open_ = merged.filter("NOT ok").drop("ok")
         if open_.isEmpty():
             break

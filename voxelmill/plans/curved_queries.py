@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import curved, neighbours
 from ..session import cut
-from .surface_queries import _SEEDS, _seeds
+from .tables import SUPPLIER_SEEDS as _SEEDS
+from .tables import supplier_seeds as _seeds
 
 QUERIES, ORACLE_SQL = {}, {}
 CELL = ["g", "seed_id"]

@@ -100,13 +100,12 @@ def nearest_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {POINTS} SELECT p.label, p.point_id, a.seed_id FROM p JOIN s a ON a.label = p.label WHERE NOT EXISTS (
   SELECT 1 FROM s b WHERE b.label = a.label AND b.seed_id <> a.seed_id AND
     2 * (b.x - a.x) * p.x + 2 * (b.y - a.y) * p.y + 2 * (b.z - a.z) * p.z
-      > b.x * b.x + b.y * b.y + b.z * b.z - a.x * a.x - a.y * a.y - a.z * a.z + 1e-9)
-  AND (SELECT count(*) FROM s c WHERE c.label = p.label) > 1"""
+      > b.x * b.x + b.y * b.y + b.z * b.z - a.x * a.x - a.y * a.y - a.z * a.z + 1e-9)"""
 )
 def voronoi_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points and the cells, among their label's seeds, that hold them."""
-    planes = neighbours.halfspaces(points(spark, sf_dir, True), ["label"])
-    return neighbours.members(points(spark, sf_dir, False), planes, ["label"])
+    near = neighbours.nearest_seed(points(spark, sf_dir, False), points(spark, sf_dir, True), group=["label"])
+    return near.select("label", "point_id", "seed_id")
 
 
 @query(
@@ -140,12 +139,13 @@ def annulus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {VOXELS}, g AS (SELECT x, y, z, sqrt(pow(x + 0.5 - 20, 2) + pow(y + 0.5 - 20, 2)) / 18 AS r, atan2(y + 0.5 - 20, x + 0.5 - 20) AS t, (z + 0.5) / 20 AS h FROM vox),
-w AS (SELECT x, y, z, sin(r * 9) * 0.3 + cos(t * 3) * 0.25 + sin(h * 6) * 0.2 + cos(r * 4 + t * 2) * 0.15 + sin(h * 3 - t) * 0.1 AS w FROM g)
-SELECT x, y, z, round(greatest(least((w + 1) / 2, 1), 0) * 0.999 + 0.001, 3) AS density FROM w"""
+    f"""WITH {VOXELS}, c AS (SELECT x, y, z, x + 0.5 - 20 AS dx, y + 0.5 - 20 AS dy FROM vox),
+g AS (SELECT x, y, z, sqrt(dx*dx + dy*dy) AS rad, atan2(dy, dx) AS theta, greatest(0, least(1, (sqrt(dx*dx + dy*dy) - 8) / 10.0::DOUBLE)) AS rn, greatest(0, least(1, z / 19.0::DOUBLE)) AS zn FROM c),
+w AS (SELECT *, 0.52::DOUBLE + 0.23::DOUBLE * sin(3 * theta + 5.5 * zn) + 0.18::DOUBLE * cos(2 * pi() * rn) + 0.11::DOUBLE * sin(7 * rn - 4 * zn) + 0.08::DOUBLE * cos(9 * theta * rn + 2.5 * zn) AS raw FROM g)
+SELECT x, y, z, CASE WHEN rad * rad BETWEEN 64 AND 324 THEN round(0.001::DOUBLE + 0.999::DOUBLE * greatest(0, least(1, (raw - (0.52::DOUBLE - 0.6::DOUBLE)) / 1.2::DOUBLE)), 3) ELSE 0 END AS density FROM w"""
 )
 def analytic_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = density.wavy_density(F.col("x"), F.col("y"), F.col("z"), 20.0, 18.0, 20.0)
+    field = density.wavy_density(F.col("x"), F.col("y"), F.col("z"), 20.0, 8.0, 18.0, 20.0)
     return voxels(spark, sf_dir).select("x", "y", "z", field.alias("density"))
 
 

@@ -258,12 +258,12 @@ def adjoint_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT least(l_partkey % 400, l_suppkey % 400) AS a, greatest(l_partkey % 400, l_suppkey % 400) AS b FROM lineitem WHERE l_partkey % 400 <> l_suppkey % 400),
+    """WITH e AS (SELECT DISTINCT least(l_partkey, -l_suppkey) AS a, greatest(l_partkey, -l_suppkey) AS b FROM lineitem WHERE l_partkey <> -l_suppkey),
 d AS (SELECT a AS node, b AS other FROM e UNION ALL SELECT b, a FROM e)
 SELECT node, count(*) AS degree, CAST(min(other) AS BIGINT) AS least FROM d GROUP BY node"""
 )
 def neighbour_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("l_partkey") % 400, F.col("l_suppkey") % 400
+    a, b = F.col("l_partkey"), -F.col("l_suppkey")
     e = _lines(spark, sf_dir).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
     both = e.select(F.col("a").alias("node"), F.col("b").alias("other")).union(e.select("b", "a"))
     return both.groupBy("node").agg(F.count("*").alias("degree"), F.min("other").alias("least"))
@@ -276,7 +276,7 @@ def cg_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.solvers import conjugate_gradients
 
     li = _lines(spark, sf_dir)
-    a, b = F.col("l_partkey") % 400, F.col("l_suppkey") % 400
+    a, b = F.col("l_partkey"), -F.col("l_suppkey")
     e = li.select(F.least(a, b).alias("i"), F.greatest(a, b).alias("j")).filter("i <> j").distinct()
     off = e.select("i", "j", F.lit(-1.0).alias("v"))
     off = off.union(off.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))

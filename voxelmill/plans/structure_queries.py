@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import checks, decks, geometry, neighbours, ordered
-from .tables import POINTS, SEGMENTS, points, segments, table
+from .tables import SEGMENTS, SUPPLIER_SEEDS, points, segments, supplier_seeds, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -75,26 +75,22 @@ def edge_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.groupBy(geometry.edge_role(F.col("fa"), F.col("fb")).alias("role")).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-NEAR = 8
-
-
 def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supports of each seed's cell: bisectors with its 8 nearest seeds of the
-    label (key 7 on), and the box -4..4 (keys 1 to 6)."""
-    seeds = points(spark, sf_dir, True)
-    half = neighbours.halfspaces(seeds, ["label"], NEAR).select("label", "seed_id", (F.col("neighbour_id") + 7).alias("key"), "nx", "ny", "nz", "rhs")
-    sides = [(i + 1, *[s if a == axis else 0.0 for a in range(3)], 4.0) for i, (axis, s) in enumerate((a, s) for a in range(3) for s in (1.0, -1.0))]
+    """Supports of each seed's cell: bisectors with all other seeds of its group
+    (key 7 on), and the box -12..12 (keys 1 to 6)."""
+    seeds = supplier_seeds(spark, sf_dir).withColumnRenamed("g", "label")
+    half = neighbours.halfspaces(seeds, ["label"]).select("label", "seed_id", (F.col("neighbour_id") + 7).alias("key"), "nx", "ny", "nz", "rhs")
+    sides = [(i + 1, *[s if a == axis else 0.0 for a in range(3)], 12.0) for i, (axis, s) in enumerate((a, s) for a in range(3) for s in (1.0, -1.0))]
     rows = [F.struct(F.lit(k).cast("long").alias("key"), F.lit(x).alias("nx"), F.lit(y).alias("ny"), F.lit(z).alias("nz"), F.lit(r).alias("rhs")) for k, x, y, z, r in sides]
     box = seeds.select("label", "seed_id", F.explode(F.array(*rows)).alias("b")).select("label", "seed_id", "b.*")
     return half.union(box)
 
 
-_PLANES = f"""{POINTS}, h AS (
+_PLANES = f"""{SUPPLIER_SEEDS.replace("s AS (", "s0 AS (", 1)}, s AS (SELECT g AS label, id AS seed_id, x, y, z FROM s0), h AS (
   SELECT a.label, a.seed_id, b.seed_id + 7 AS key, 2 * (b.x - a.x) AS nx, 2 * (b.y - a.y) AS ny, 2 * (b.z - a.z) AS nz,
          b.x * b.x + b.y * b.y + b.z * b.z - a.x * a.x - a.y * a.y - a.z * a.z AS rhs
-  FROM s a JOIN s b ON a.label = b.label AND a.seed_id <> b.seed_id
-  QUALIFY row_number() OVER (PARTITION BY a.seed_id ORDER BY pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2), b.seed_id) <= {NEAR}),
-box(key, nx, ny, nz, rhs) AS (VALUES (1, 1, 0, 0, 4), (2, -1, 0, 0, 4), (3, 0, 1, 0, 4), (4, 0, -1, 0, 4), (5, 0, 0, 1, 4), (6, 0, 0, -1, 4)),
+  FROM s a JOIN s b ON a.label = b.label AND a.seed_id <> b.seed_id),
+box(key, nx, ny, nz, rhs) AS (VALUES (1, 1, 0, 0, 12), (2, -1, 0, 0, 12), (3, 0, 1, 0, 12), (4, 0, -1, 0, 12), (5, 0, 0, 1, 12), (6, 0, 0, -1, 12)),
 pl AS (SELECT * FROM h UNION ALL SELECT label, seed_id, key, nx, ny, nz, rhs FROM s, box),
 t AS (SELECT a.seed_id, a.key AS ak, b.key AS bk, c.key AS ck,
   a.nx * (b.ny * c.nz - b.nz * c.ny) - a.ny * (b.nx * c.nz - b.nz * c.nx) + a.nz * (b.nx * c.ny - b.ny * c.nx) AS det,

@@ -8,26 +8,55 @@ from pyspark.sql import functions as F
 from ..operators import density
 
 NX, NY, NZ = 40, 40, 20
+LINES_A_LAYER = 60_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def layers(spark: SparkSession, sf_dir: str) -> int:
+    """How many times NZ high the grid is, so that a voxel holds about two lines at any size."""
+    return max(1, table(spark, sf_dir, "lineitem").count() // LINES_A_LAYER)
+
+
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as mass points on a 40 x 40 x 20 grid."""
-    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
-    return density.voxelise(li, F.col("l_partkey") % NX, F.col("l_suppkey") % NY, F.col("l_quantity").cast("int") % NZ, F.col("l_quantity").cast("long"))
+    """Order lines as mass points on a grid 40 x 40 wide and 20 high for each LINES_A_LAYER lines."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    z = F.col("l_quantity").cast("int") % NZ + (F.col("l_orderkey") % layers(spark, sf_dir) * NZ).cast("int")
+    return density.voxelise(li, F.col("l_partkey") % NX, F.col("l_suppkey") % NY, z, F.col("l_quantity").cast("long"))
 
 
 VOXELS = f"""vox AS (
-  SELECT CAST(l_partkey % {NX} AS INT) AS x, CAST(l_suppkey % {NY} AS INT) AS y, CAST(trunc(l_quantity) AS INT) % {NZ} AS z,
+  SELECT CAST(l_partkey % {NX} AS INT) AS x, CAST(l_suppkey % {NY} AS INT) AS y,
+         CAST(CAST(trunc(l_quantity) AS INT) % {NZ} + l_orderkey % (SELECT greatest(1, count(*) // {LINES_A_LAYER}) FROM lineitem) * {NZ} AS INT) AS z,
          CAST(least(1000, sum(CAST(trunc(l_quantity) AS BIGINT))) AS BIGINT) AS density_milli
   FROM lineitem GROUP BY 1, 2, 3)"""
 
 
+def supplier_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as seeds about a cylinder, in groups of eight or so, whatever their number."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        F.concat_ws("-", F.col("s_nationkey").cast("string"), F.floor(k / 200).cast("string")).alias("g"), k.alias("seed_id"),
+        (F.cos(k.cast("double")) * 4.0 + (k % 3)).alias("x"), (F.sin(k.cast("double")) * 4.0 - (k % 5) * 0.5).alias("y"), ((k % 11) * 1.0).alias("z"),
+    )
+
+
+SUPPLIER_SEEDS = """s AS (SELECT s_nationkey || '-' || (s_suppkey // 200) AS g, s_suppkey AS id, cos(s_suppkey::DOUBLE) * 4 + s_suppkey % 3 AS x,
+  sin(s_suppkey::DOUBLE) * 4 - (s_suppkey % 5) * 0.5::DOUBLE AS y, (s_suppkey % 11)::DOUBLE AS z FROM supplier)"""
+
+
+def all_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three components of every vector, as seeds of its label; of
+    vectors at one place the smallest id is the seed."""
+    xyz = [F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")]
+    placed = table(spark, sf_dir, "embeddings").select("vec_id", "label", *xyz).filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    return placed.groupBy("label", "x", "y", "z").agg(F.min("vec_id").alias("seed_id"))
+
+
 def points(spark: SparkSession, sf_dir: str, seeds: bool) -> DataFrame:
-    """The first three components of the vectors; one in 16 is a seed."""
+    """The first three components of the vectors; one in 16 is a seed, the others are points."""
     e = table(spark, sf_dir, "embeddings")
     own = F.col("vec_id") % 16 == 0
     xyz = [F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")]
