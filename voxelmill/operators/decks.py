@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import group_index
+
 
 def normalised(text: Column) -> Column:
     """Lower-case lines, trimmed, blank ones out, runs of blanks one, none about commas."""
@@ -42,8 +44,8 @@ def sections(lines: DataFrame, deck: str = "deck", n: str = "n", text: str = "li
 
 def comma_block(ids: DataFrame, group: str, id: str, per_line: int = 10) -> DataFrame:
     """Lines of per_line ids, seven wide, in order of id: group, line_no, line."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(id)) - 1
-    t = ids.withColumn("line_no", F.floor(place / per_line).cast("int"))
+    placed = group_index(ids.select(group, id), group, [F.col(id)], "__i")
+    t = placed.withColumn("line_no", F.floor(F.col("__i") / per_line).cast("int"))
     cells = F.transform(F.array_sort(F.collect_list(id)), lambda v: F.format_string("%7d,", v))
     return t.groupBy(group, "line_no").agg(F.array_join(cells, "\t").alias("line"))
 

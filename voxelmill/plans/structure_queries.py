@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import checks, decks, geometry, neighbours, ordered
+from ..operators.prefix import group_index
+from ..session import cut
 from .tables import SEGMENTS, SUPPLIER_SEEDS, points, segments, supplier_seeds, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -211,15 +213,20 @@ def densify_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH b AS (SELECT p_partkey, CAST(round_even(p_retailprice / 2100 * 10, 0) AS INT) AS bucket FROM part)
-SELECT CAST(r AS INT) AS bucket, count(p_partkey) AS n, coalesce(CAST(min(p_partkey) AS BIGINT), -1) AS first_id,
-       coalesce(md5(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey)), '') AS members
-FROM (SELECT unnest(range(0, 11)) AS r) LEFT JOIN b ON bucket = r GROUP BY r"""
+    """WITH b AS (SELECT p_partkey, CAST(round_even(p_retailprice / 2100 * 10, 0) AS INT) AS bucket FROM part),
+k AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY p_partkey) - 1) // 4096 AS chunk FROM b),
+c AS (SELECT bucket, chunk, count(*) AS n, min(p_partkey) AS first_id, md5(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey)) AS digest FROM k GROUP BY 1, 2)
+SELECT CAST(r AS INT) AS bucket, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, coalesce(CAST(min(first_id) AS BIGINT), -1) AS first_id, coalesce(md5(string_agg(digest, ',' ORDER BY chunk)), '') AS members
+FROM (SELECT unnest(range(0, 11)) AS r) LEFT JOIN c ON bucket = r GROUP BY r"""
 )
 def bucket_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of each bucket in order of id, empty buckets too."""
+    """Digests of each bucket's members in order of id, 4096 at a time, empty buckets too."""
     b = table(spark, sf_dir, "part").select("p_partkey", F.rint(F.col("p_retailprice") / 2100.0 * 10.0).cast("int").alias("bucket"))
-    held = b.groupBy("bucket").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda v: v.cast("string")), ",").cast("binary")).alias("members"))
+    k = group_index(b, "bucket", [F.col("p_partkey")], "i").groupBy("bucket", F.floor(F.col("i") / 4096).alias("chunk"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda v: v.cast("string")), ",")
+    c = k.agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id"), F.md5(joined.cast("binary")).alias("digest"))
+    digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "digest"))), lambda v: v["digest"]), ",")
+    held = c.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.md5(digests.cast("binary")).alias("members"))
     all_ = spark.range(0, 11).select(F.col("id").cast("int").alias("bucket"))
     return all_.join(held, "bucket", "left").na.fill({"n": 0, "first_id": -1, "members": ""})
 
@@ -363,8 +370,9 @@ SELECT doc_id, CAST(min(CASE WHEN differs THEN n END) AS BIGINT) AS first_mismat
 def first_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line in which a document and the next one of its source differ."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    place = Window.partitionBy("source").orderBy("doc_id")
-    pairs = d.select(F.col("doc_id").alias("a_id"), F.lead("doc_id").over(place).alias("b_id")).filter("b_id IS NOT NULL")
+    placed = cut(group_index(d.select("doc_id", "source").filter("source IS NOT NULL"), "source", [F.col("doc_id")], "r"))
+    after = placed.select("source", (F.col("r") - 1).alias("r"), F.col("doc_id").alias("b_id"))
+    pairs = placed.withColumnRenamed("doc_id", "a_id").join(after, ["source", "r"]).select("a_id", "b_id")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     x = pairs.join(lines.withColumnRenamed("doc_id", "a_id"), "a_id").select("a_id", "n", F.col("line").alias("x"))
     y = pairs.join(lines.withColumnRenamed("doc_id", "b_id"), "b_id").select("a_id", "n", F.col("line").alias("y"))
