@@ -128,7 +128,7 @@ def test_pivot_tables_find_all_close_pairs_and_discard_others(spark):
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
     refs = simhash.references()
     table = spark.createDataFrame([(x,) for x in signed], "fp long").withColumn("row", simhash.pivot_row(F.col("fp"), refs))
-    keyed = table.select("fp", "row", F.explode(simhash.pivot_keys(F.col("row"))).alias("k")).select("fp", "row", "k.groups", "k.value")
+    keyed = table.select("fp", "row", F.explode(simhash.pivot_keys(simhash.pivot_groups(F.col("row")))).alias("k")).select("fp", "row", "k.groups", "k.value")
     met = {tuple(r) for r in simhash.near_pairs(keyed, 64, 0).distinct().collect()}
     left = {tuple(r) for r in simhash.near_pairs(keyed, 2, len(refs)).distinct().collect()}
     bits = lambda u, v: ((u ^ v) & ((1 << 64) - 1)).bit_count()

@@ -75,14 +75,18 @@ def pivot_row(fp: Column, pivots: list[int]) -> Column:
     return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots])
 
 
-def pivot_keys(row: Column) -> Column:
-    """(groups, value) for each choice of all but two groups of block coordinates."""
+def pivot_groups(row: Column) -> Column:
+    """For each group of blocks, its blocks' coordinates as one number."""
     base = BLOCK + 1
     # bits set in block b, from the distances to zero and to the block's mask
-    held = lambda b: ((row[0] - row[b + 1] + BLOCK) / BLOCK).cast("long")
-    group = [sum((held(b) * base**b for b in range(g + GROUPS, BLOCKS, GROUPS)), held(g) * base**g) for g in range(GROUPS)]
+    held = lambda b: F.shiftright(row[0] - row[b + 1] + BLOCK, 1).cast("long")
+    return F.array(*[sum((held(b) * base**b for b in range(g + GROUPS, BLOCKS, GROUPS)), held(g) * base**g) for g in range(GROUPS)])
+
+
+def pivot_keys(groups: Column) -> Column:
+    """(groups, value) for each choice of all but two of pivot_groups."""
     keys = [
-        F.struct(F.lit(n).cast("tinyint").alias("groups"), sum((group[g] for g in some[1:]), group[some[0]]).alias("value"))
+        F.struct(F.lit(n).cast("tinyint").alias("groups"), sum((groups[g] for g in some[1:]), groups[some[0]]).alias("value"))
         for n, some in enumerate(combinations(range(GROUPS), GROUPS - 2))
     ]
     return F.array(*keys)
@@ -105,8 +109,10 @@ def link_fingerprints(nodes: DataFrame, radius: int = 2, extra: int = 8, crowd:
     if radius != 2:
         raise ValueError("groups and centres are laid out for a radius of 2 bits")
     refs = references(extra)
-    table = nodes.select("fp", pivot_row(F.col("fp"), refs).alias("row"))
-    keyed = table.select("fp", F.explode(pivot_keys(F.col("row"))).alias("k")).select("fp", "k.groups", "k.value")
+    table = nodes.select("fp", pivot_row(F.col("fp"), refs[: BLOCKS + 1]).alias("row")).select("fp", pivot_groups(F.col("row")).alias("g"))
+    # kept, as the keys are made twice; 56 bytes a node
+    table = cut(table.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
+    keyed = table.select("fp", F.explode(pivot_keys(F.col("g"))).alias("k")).select("fp", "k.groups", "k.value")
     sizes = keyed.groupBy("groups", "value").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(keyed.join(sizes, ["groups", "value"]))
 
