@@ -154,8 +154,8 @@ def edges(verts: DataFrame, supports: DataFrame, cell: list[str]) -> DataFrame:
     curve, whose pieces go round from each vertex to the next."""
     on = verts.select(*cell, "vertex", "x", "y", "z", F.explode("keys").alias("key"))
     pairs = on.select(*cell, "vertex", "x", "y", "z", F.col("key").alias("a")).join(on.select(*cell, "vertex", F.col("key").alias("b")), [*cell, "vertex"]).filter("a < b")
-    side = lambda p: supports.select(*cell, F.col("key").alias(p[0]), *[F.col(c).alias(f"{p}{c}") for c in COLUMNS])
-    t = pairs.join(side("a_"), [*cell, "a"]).join(side("b_"), [*cell, "b"]).withColumn("kind", curve_kind("a_", "b_"))
+    ends = lambda p: supports.select(*cell, F.col("key").alias(p[0]), *[F.col(c).alias(f"{p}{c}") for c in COLUMNS])
+    t = pairs.join(ends("a_"), [*cell, "a"]).join(ends("b_"), [*cell, "b"]).withColumn("kind", curve_kind("a_", "b_"))
     c = F.col
     ring = lambda n: F.when(c("a_kind") == "cylinder", c(f"a_{n}")).otherwise(c(f"b_{n}"))
     plane = lambda n: F.when(c("a_kind") == "cylinder", c(f"b_{n}")).otherwise(c(f"a_{n}"))
@@ -164,9 +164,11 @@ def edges(verts: DataFrame, supports: DataFrame, cell: list[str]) -> DataFrame:
     # the direction's sign is fixed so that it doesn't hang on which support comes first
     angle = F.atan2(c("y") - c("oy"), c("x") - c("ox"))
     param = F.when(c("kind") == "line_segment", along).when(c("kind") == "vertical_line", c("z")).otherwise(angle)
-    t = t.withColumn("param", param)
-    near = Window.partitionBy(*cell, "a", "b").orderBy("param", "vertex")
-    whole = Window.partitionBy(*cell, "a", "b").orderBy("param", "vertex").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # a vertical plane meets a cylinder in two lines
+    side = F.signum((c("y") - c("oy")) * c("pnx") - (c("x") - c("ox")) * c("pny"))
+    t = t.withColumns({"param": param, "branch": F.when(c("kind") == "vertical_line", side).otherwise(0.0)})
+    near = Window.partitionBy(*cell, "a", "b", "branch").orderBy("param", "vertex")
+    whole = Window.partitionBy(*cell, "a", "b", "branch").orderBy("param", "vertex").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     names = ("vertex", "x", "y", "z", "param")
     t = t.withColumns({f"next_{n}": F.lead(n).over(near) for n in names} | {f"first_{n}": F.first(n).over(whole) for n in names} | {"many": F.count("*").over(whole)})
     closed = c("kind").isin("circle_arc", "cylinder_plane_curve")
@@ -183,10 +185,29 @@ def edges(verts: DataFrame, supports: DataFrame, cell: list[str]) -> DataFrame:
         *[F.col(f"e_{n}").alias(f"e{n}") for n in "xyz"], "mx", "my", "mz", "ox", "oy", "r", "pnx", "pny", "pnz", "prhs",
     )
     t = inside(t, supports, cell, ["a", "b", "start", "end"], ("mx", "my", "mz"))
+    t = t.unionByName(whole_curves(pairs, supports, cell))
     number = F.row_number().over(Window.partitionBy(*cell).orderBy("a", "b", "start", "end")) - 1
     return t.withColumn("edge", number)
 
 
+def whole_curves(pairs: DataFrame, supports: DataFrame, cell: list[str]) -> DataFrame:
+    """Closed curves of a plane and a cylinder that no third support cuts, where
+    they lie in the cell: edges without vertices (start and end are -1)."""
+    c = F.col
+    p = supports.filter("kind = 'plane'").filter(F.abs("nz") > PARALLEL).select(*cell, c("key").alias("pk"), c("nx").alias("pnx"), c("ny").alias("pny"), c("nz").alias("pnz"), c("rhs").alias("prhs"))
+    r = supports.filter("kind = 'cylinder'").select(*cell, c("key").alias("rk"), c("cx").alias("ox"), c("cy").alias("oy"), c("radius").alias("r"))
+    t = p.join(r, cell).withColumns({"a": F.least("pk", "rk"), "b": F.greatest("pk", "rk")}).join(pairs.select(*cell, "a", "b").distinct(), [*cell, "a", "b"], "left_anti")
+    t = t.withColumns({"mx": c("ox") + c("r"), "my": c("oy")})
+    t = t.withColumn("mz", F.try_divide(c("prhs") - c("pnx") * c("mx") - c("pny") * c("my"), c("pnz")))
+    t = inside(t, supports, cell, ["a", "b"], ("mx", "my", "mz"))
+    kind = F.when(c("pk").isin("top_cap", "bottom_cap"), "circle_arc").otherwise("cylinder_plane_curve")
+    none = F.lit(-1)
+    return t.select(
+        *cell, "a", "b", kind.alias("kind"), none.alias("start"), none.alias("end"), *[c(f"m{n}").alias(f"s{n}") for n in "xyz"], *[c(f"m{n}").alias(f"e{n}") for n in "xyz"],
+        "mx", "my", "mz", "ox", "oy", "r", "pnx", "pny", "pnz", "prhs",
+    )
+
+
 def sample_edges(found: DataFrame, count: int = 24) -> DataFrame:
     """found (edges) with k, x, y, z: `count` points along each edge, its ends included."""
     c = F.col
@@ -194,7 +215,8 @@ def sample_edges(found: DataFrame, count: int = 24) -> DataFrame:
     share = c("k") / float(count - 1)
     closed = c("kind").isin("circle_arc", "cylinder_plane_curve")
     begin = F.atan2(c("sy") - c("oy"), c("sx") - c("ox"))
-    turn = begin + share * F.pmod(F.atan2(c("ey") - c("oy"), c("ex") - c("ox")) - begin, F.lit(2 * math.pi))
+    span = F.when(c("start") < 0, 2 * math.pi).otherwise(F.pmod(F.atan2(c("ey") - c("oy"), c("ex") - c("ox")) - begin, F.lit(2 * math.pi)))
+    turn = begin + share * span
     straight = lambda n: c(f"s{n}") + share * (c(f"e{n}") - c(f"s{n}"))
     t = t.withColumns({"x": F.when(closed, c("ox") + c("r") * F.cos(turn)).otherwise(straight("x")), "y": F.when(closed, c("oy") + c("r") * F.sin(turn)).otherwise(straight("y"))})
     return t.withColumn("z", F.when(closed, (c("prhs") - c("pnx") * c("x") - c("pny") * c("y")) / c("pnz")).otherwise(straight("z")))
@@ -204,15 +226,15 @@ def faces(found: DataFrame, cell: list[str]) -> DataFrame:
     """(cell, support, n_edges, n_vertices): a face for each support with edges."""
     t = found.select(*cell, "edge", "start", "end", F.explode(F.array("a", "b")).alias("support"))
     t = t.select(*cell, "support", "edge", F.explode(F.array("start", "end")).alias("vertex"))
-    return t.groupBy(*cell, "support").agg(F.count_distinct("edge").alias("n_edges"), F.count_distinct("vertex").alias("n_vertices"))
+    return t.groupBy(*cell, "support").agg(F.count_distinct("edge").alias("n_edges"), F.count_distinct(F.when(F.col("vertex") >= 0, F.col("vertex"))).alias("n_vertices"))
 
 
 def loops(found: DataFrame, cell: list[str]) -> DataFrame:
-    """(cell, support, loop, place, edge): the edges of each face chained into
-    loops, each from its smallest edge on; at a vertex the smallest unused edge
-    comes next. A cell's edges, a few dozen, are walked at a time."""
+    """(cell, support, loop, place, edge, forward): the edges of each face chained
+    into loops, each from its smallest edge on; at a vertex the smallest unused
+    edge comes next; forward: whether it is walked from its start. A cell's edges, a few dozen, are walked at a time."""
     kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in cell) + ", support string, loop int, place int, edge int"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cell) + ", support string, loop int, place int, edge int, forward boolean"
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -223,14 +245,14 @@ def loops(found: DataFrame, cell: list[str]) -> DataFrame:
             while left:
                 edge = next(iter(left))
                 home, at = left.pop(edge)
-                chain = [edge]
+                chain = [(edge, True)]
                 while at != home and (step := next((e for e, x in left.items() if at in x), None)) is not None:
                     u, v = left.pop(step)
+                    chain.append((step, u == at))
                     at = v if u == at else u
-                    chain.append(step)
-                rows += [(support, number, k, e) for k, e in enumerate(chain)]
+                rows += [(support, number, k, e, f) for k, (e, f) in enumerate(chain)]
                 number += 1
-        out = pd.DataFrame(rows, columns=["support", "loop", "place", "edge"])
+        out = pd.DataFrame(rows, columns=["support", "loop", "place", "edge", "forward"])
         for c in reversed(cell):
             out.insert(0, c, part[c].iloc[0])
         return out

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import curved, neighbours
+from ..operators import curved, neighbours, shells
 from ..session import cut
 from .tables import SUPPLIER_SEEDS as _SEEDS
+from .tables import VOXELS, voxels
 from .tables import supplier_seeds as _seeds
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -81,16 +82,24 @@ sd AS (SELECT p.*, l.kind AS lk, r.kind AS rk, l.nx AS lx, l.ny AS ly, l.nz AS l
   FROM prs p JOIN sup l ON p.g = l.g AND p.seed_id = l.seed_id AND p.a = l.key JOIN sup r ON p.g = r.g AND p.seed_id = r.seed_id AND p.b = r.key),
 kd AS (SELECT *, CASE WHEN (lk = 'cylinder') = (rk = 'cylinder') THEN 'line_segment' WHEN a IN ('top_cap', 'bottom_cap') OR b IN ('top_cap', 'bottom_cap') THEN 'circle_arc'
   WHEN abs(pnz) <= 1e-12 THEN 'vertical_line' ELSE 'cylinder_plane_curve' END AS kind FROM sd),
-pm AS (SELECT *, CASE kind WHEN 'line_segment' THEN (ly*rz - lz*ry)*x + (lz*rx - lx*rz)*y + (lx*ry - ly*rx)*z WHEN 'vertical_line' THEN z ELSE atan2(y - oy, x - ox) END AS param FROM kd),
-nx AS (SELECT *, lead({{'v': vertex, 'x': x, 'y': y, 'z': z, 't': param}}) OVER w AS n, first({{'v': vertex, 'x': x, 'y': y, 'z': z, 't': param}}) OVER w AS f, count(*) OVER (PARTITION BY g, seed_id, a, b) AS many
-  FROM pm WINDOW w AS (PARTITION BY g, seed_id, a, b ORDER BY param, vertex)),
+pm AS (SELECT *, CASE kind WHEN 'line_segment' THEN (ly*rz - lz*ry)*x + (lz*rx - lx*rz)*y + (lx*ry - ly*rx)*z WHEN 'vertical_line' THEN z ELSE atan2(y - oy, x - ox) END AS param,
+  CASE kind WHEN 'vertical_line' THEN sign((y - oy) * pnx - (x - ox) * pny) ELSE 0 END AS br FROM kd),
+nx AS (SELECT *, lead({{'v': vertex, 'x': x, 'y': y, 'z': z, 't': param}}) OVER w AS n, first({{'v': vertex, 'x': x, 'y': y, 'z': z, 't': param}}) OVER w AS f, count(*) OVER (PARTITION BY g, seed_id, a, b, br) AS many
+  FROM pm WINDOW w AS (PARTITION BY g, seed_id, a, b, br ORDER BY param, vertex)),
 pc AS (SELECT * EXCLUDE (n, f), CASE WHEN n IS NOT NULL THEN n WHEN kind IN ('circle_arc', 'cylinder_plane_curve') AND many > 1 THEN f END AS e FROM nx),
 md AS (SELECT *, param + (e.t - param - 2 * pi() * floor((e.t - param) / (2 * pi()))) / 2 AS turn FROM pc WHERE e IS NOT NULL),
 mxy AS (SELECT *, CASE WHEN kind IN ('circle_arc', 'cylinder_plane_curve') THEN ox + rad * cos(turn) ELSE (x + e.x) / 2 END AS mx, CASE WHEN kind IN ('circle_arc', 'cylinder_plane_curve') THEN oy + rad * sin(turn) ELSE (y + e.y) / 2 END AS my FROM md),
 mid AS (SELECT *, CASE WHEN kind IN ('circle_arc', 'cylinder_plane_curve') THEN (prhs - pnx * mx - pny * my) / pnz ELSE (z + e.z) / 2 END AS mz FROM mxy),
 bad AS (SELECT g, seed_id, a, b, vertex, e.v AS v FROM (SELECT mid.* EXCLUDE (kind), sup.* EXCLUDE (g, seed_id) FROM mid JOIN sup USING (g, seed_id)) GROUP BY ALL HAVING max({_excess("mx", "my", "mz")}) > 1e-6),
-edge AS (SELECT mid.* FROM mid ANTI JOIN bad ON mid.g = bad.g AND mid.seed_id = bad.seed_id AND mid.a = bad.a AND mid.b = bad.b AND mid.vertex = bad.vertex AND mid.e.v = bad.v),
-face AS (SELECT g, seed_id, support, count(DISTINCT a || '/' || b || '/' || vertex || '/' || v) AS n_edges, count(DISTINCT p) AS n_vertices
+wh AS (SELECT p.g, p.seed_id, least(p.key, r.key) AS a, greatest(p.key, r.key) AS b, CASE WHEN p.key IN ('top_cap', 'bottom_cap') THEN 'circle_arc' ELSE 'cylinder_plane_curve' END AS kind,
+  r.cx + r.radius AS mx, r.cy AS my, (p.rhs - p.nx * (r.cx + r.radius) - p.ny * r.cy) / p.nz AS mz, r.cx AS ox, r.cy AS oy, r.radius AS rad, p.nx AS pnx, p.ny AS pny, p.nz AS pnz, p.rhs AS prhs
+  FROM sup p JOIN sup r ON p.g = r.g AND p.seed_id = r.seed_id AND r.kind = 'cylinder' WHERE p.kind = 'plane' AND abs(p.nz) > 1e-12),
+whp AS (SELECT * FROM wh ANTI JOIN prs ON wh.g = prs.g AND wh.seed_id = prs.seed_id AND wh.a = prs.a AND wh.b = prs.b),
+whb AS (SELECT g, seed_id, a, b FROM (SELECT whp.* EXCLUDE (kind), sup.* EXCLUDE (g, seed_id) FROM whp JOIN sup USING (g, seed_id)) GROUP BY ALL HAVING max({_excess("mx", "my", "mz")}) > 1e-6),
+edge AS (SELECT g, seed_id, a, b, kind, vertex, x, y, z, e, ox, oy, rad, pnx, pny, pnz, prhs FROM mid ANTI JOIN bad ON mid.g = bad.g AND mid.seed_id = bad.seed_id AND mid.a = bad.a AND mid.b = bad.b AND mid.vertex = bad.vertex AND mid.e.v = bad.v
+  UNION ALL SELECT g, seed_id, a, b, kind, -1, mx, my, mz, {{'v': -1, 'x': mx, 'y': my, 'z': mz, 't': 0::DOUBLE}}, ox, oy, rad, pnx, pny, pnz, prhs FROM whp
+  ANTI JOIN whb ON whp.g = whb.g AND whp.seed_id = whb.seed_id AND whp.a = whb.a AND whp.b = whb.b),
+face AS (SELECT g, seed_id, support, count(DISTINCT a || '/' || b || '/' || vertex || '/' || v) AS n_edges, count(DISTINCT p) FILTER (p >= 0) AS n_vertices
   FROM (SELECT g, seed_id, a, b, vertex, e.v AS v, unnest([a, b]) AS support, vertex AS p FROM edge UNION ALL SELECT g, seed_id, a, b, vertex, e.v, unnest([a, b]), e.v FROM edge) GROUP BY ALL)"""
 _CURVED = f"WITH {_BISECTORS}, {_SHELL}, {_VERTICES}, {_EDGES}"
 _R = lambda c: F.round(c, 4) + 0.0
@@ -163,7 +172,7 @@ def curved_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""{_CURVED}, k AS (SELECT *, k / 23.0::DOUBLE AS sh FROM edge, (SELECT unnest(range(24)) AS k)),
 t AS (SELECT *, kind IN ('circle_arc', 'cylinder_plane_curve') AS closed, atan2(y - oy, x - ox) AS t0, atan2(e.y - oy, e.x - ox) AS t1 FROM k),
-u AS (SELECT *, t0 + sh * (t1 - t0 - 2 * pi() * floor((t1 - t0) / (2 * pi()))) AS tt FROM t),
+u AS (SELECT *, t0 + sh * CASE WHEN vertex = -1 THEN 2 * pi() ELSE t1 - t0 - 2 * pi() * floor((t1 - t0) / (2 * pi())) END AS tt FROM t),
 q AS (SELECT *, CASE WHEN closed THEN ox + rad * cos(tt) ELSE x + sh * (e.x - x) END AS qx, CASE WHEN closed THEN oy + rad * sin(tt) ELSE y + sh * (e.y - y) END AS qy FROM u),
 p AS (SELECT g, seed_id, a, b, vertex, e.v AS v, k, qx, qy, CASE WHEN closed THEN (prhs - pnx * qx - pny * qy) / pnz ELSE z + sh * (e.z - z) END AS qz FROM q),
 d AS (SELECT *, sqrt(pow(qx - lag(qx) OVER w, 2) + pow(qy - lag(qy) OVER w, 2) + pow(qz - lag(qz) OVER w, 2)) AS d FROM p WINDOW w AS (PARTITION BY g, seed_id, a, b, vertex, v ORDER BY k))
@@ -182,3 +191,44 @@ def curved_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cell as one JSON text."""
     verts, found = _brep(spark, sf_dir)
     return curved.cell_documents(verts, found, curved.loops(found, CELL), CELL)
+
+
+def _triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supports = _supports(spark, sf_dir)
+    verts = cut(curved.vertices(supports, CELL))
+    found = cut(curved.edges(verts, supports, CELL))
+    return cut(shells.cell_triangles(found, curved.loops(found, CELL), supports, CELL))
+
+
+@query()
+def shell_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles and areas of each cell's faces."""
+    a = shells.areas(_triangles(spark, sf_dir), CELL)
+    return a.select(*CELL, "support", "n_triangles", F.round("area", 4).alias("area"))
+
+
+@query()
+def shell_glb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binary mesh file of each diagram with a part for each cell."""
+    g = shells.glb_of_groups(_triangles(spark, sf_dir), "g", "seed_id", curved.SHELL)
+    return g.select("g", "n_parts", F.length("glb").alias("bytes"), F.sha2("glb", 256).alias("sha256"))
+
+
+@query()
+def face_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed lines about each face, with their points and the gap at their end."""
+    found = _brep(spark, sf_dir)[1]
+    p = shells.loop_points(found, curved.loops(found, CELL), CELL)
+    end = lambda f: f(F.struct("x", "y", "z"), "nth")
+    t = p.groupBy(*CELL, "support", "loop").agg(F.count("*").alias("n_points"), end(F.min_by).alias("a"), end(F.max_by).alias("b"))
+    gap = F.sqrt(sum((F.power(F.col(f"a.{c}") - F.col(f"b.{c}"), 2) for c in "yz"), F.power(F.col("a.x") - F.col("b.x"), 2)))
+    return t.select(*CELL, "support", "loop", "n_points", (F.round(gap, 6) + 0.0).alias("gap"))
+
+
+@query(
+    f"""WITH {VOXELS} SELECT CAST(density_milli // 250 AS BIGINT) AS part, CAST(0 AS BIGINT) AS block, count(*) AS n, count(*) * 6 AS bytes FROM vox GROUP BY 1"""
+)
+def voxel_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels by density class as packed 16-bit triples."""
+    v = voxels(spark, sf_dir).withColumn("part", F.floor(F.col("density_milli") / 250))
+    return shells.packed_triples(v, "part", rows=1 << 20).select("part", "block", "n", F.length("bytes").cast("long").alias("bytes"))
