@@ -1,10 +1,12 @@
 """Near-dedup by the similarity of shingle sets.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word
-shingles is at least 0.8. Equal sets are one node. Candidates share a band of
-their MinHash sketch (20 bands of 4 minima: a pair of similarity 0.8 shares none
-with a probability of 3e-5, a closer one with less), and every link is verified
-on the whole sets.
+shingles is at least 0.8. Equal sets are one node. Candidates come from two
+sides: the pivot tables of SimHash link the closest copies (fingerprints within
+2 bits), and, as most pairs near 0.8 are farther apart in their fingerprints,
+nodes that share a band of their MinHash sketch (20 bands of 4 minima: a pair of
+similarity 0.8 shares none with a probability of 3e-5, a closer one with less).
+Every link is verified on the whole sets.
 
 Only connected components are asked for, so pairs that are linked already are
 not compared: first all members of a band's bucket meet its smallest member,
@@ -24,6 +26,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from ..session import cut
 from .components import connected_components
+from .simhash import link_fingerprints, majority
 
 SEED, BANDS, ROWS = 42, 20, 4
 _DRAW = np.random.default_rng(SEED)
@@ -57,15 +60,15 @@ def bands(grams: np.ndarray) -> list[int]:
 
 
 def sketch(text: Column, words: int) -> Column:
-    """node (XXH64 of the shingle set), n (its size), keys (bands)."""
+    """node (XXH64 of the shingle set), n (its size), fp (its SimHash), keys (bands)."""
 
-    @F.pandas_udf("node long, n long, keys array<long>")
+    @F.pandas_udf("node long, n long, fp long, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             g = shingles(t, words)
-            out.append((np.uint64(xxhash.xxh64_intdigest(g.tobytes(), SEED)).view(np.int64), len(g), bands(g)))
-        return pd.DataFrame(out, columns=["node", "n", "keys"])
+            out.append((np.uint64(xxhash.xxh64_intdigest(g.tobytes(), SEED)).view(np.int64), len(g), majority(g), bands(g)))
+        return pd.DataFrame(out, columns=["node", "n", "fp", "keys"])
 
     return of(text)
 
@@ -92,17 +95,29 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return cut(pairs.join(left, "u").join(right, "v").filter(alike).select("u", "v"))
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes whose fingerprints the pivot tables of simhash link:
+    the smallest node of each fingerprint stands for it."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("lead")))
+    same = nodes.join(first, "fp").filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+    links = link_fingerprints(first.select("fp"))
+    left, right = (first.select(F.col("fp").alias(f), F.col("lead").alias(n)) for f, n in (("u", "a"), ("v", "b")))
+    far = links.join(left, "u").join(right, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    return same.union(far)
+
+
 def link_sets(nodes: DataFrame, sets_of, least: float = 0.8, crowd: int = 64, rounds: int = 4) -> DataFrame:
-    """(node, component) of the nodes (node, n, keys) that have a near copy.
+    """(node, component) of the nodes (node, n, fp, keys) that have a near copy.
     sets_of(some): (node, grams) of the nodes of some (node)."""
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     groups = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n")).filter("c > 1")
     shared = cut(keyed.join(groups, "key"))
-    sets = cut(sets_of(shared.select("node").distinct()))
+    close = cut(simhash_pairs(nodes.select("node", "fp")))
+    sets = cut(sets_of(shared.select("node").union(close.select("u")).union(close.select("v")).distinct()))
     sized = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
 
     pairs = shared.filter("node <> lead").filter(sized(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("u"), F.col("node").alias("v"))
-    links = verified(pairs.distinct(), sets, least)
+    links = verified(pairs.union(close).distinct(), sets, least)
     for turn in range(rounds + 1):
         parts = cut(connected_components(links))
         now = shared.select("key", "node", "n", "c").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -138,16 +153,16 @@ def near_components(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     aren't read.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("text_key"))
-    marked = cut(rows.withColumn("s", sketch(F.col("text"), words)).select("doc_id", "text_key", "s.node", "s.n", "s.keys"))
+    marked = cut(rows.withColumn("s", sketch(F.col("text"), words)).select("doc_id", "text_key", "s.node", "s.n", "s.fp", "s.keys"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_key").alias("k")))
-    nodes = cut(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), first.alias("first")))
+    nodes = cut(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), first.alias("first")))
 
     def sets_of(some: DataFrame) -> DataFrame:
         wanted = nodes.join(some, "node").select("node", F.col("first.k").alias("text_key"))
         texts = rows.select("text_key", "text").join(wanted, "text_key").dropDuplicates(["node"])
         return texts.select("node", gram_sets(F.col("text"), words).alias("grams"))
 
-    parts = link_sets(nodes.select("node", "n", "keys"), sets_of, least, crowd)
+    parts = link_sets(nodes.select("node", "n", "fp", "keys"), sets_of, least, crowd)
     member = nodes.select("node", "first").join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     named = member.groupBy("component").agg(F.min("first").alias("best"))
     named = cut(member.join(named, "component").select("node", "best"))
