@@ -19,8 +19,10 @@ ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.ite
 _shipped: set[str] = set()
 
 
-def ship(spark: SparkSession, root: str) -> None:
-    """Send the package's files to the executors, once for each application."""
+def ship(spark: SparkSession, root: str = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))) -> None:
+    """Send the package's files to the executors, once for each application.
+    Call it before using operators with Python tasks where the executors can't
+    import the package; the registered queries do so themselves."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where it is unset (a single machine, as in tests)."""
+    temporary one where it is unset on a single machine, as in tests. On a
+    cluster an unset folder is an error."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
