@@ -307,7 +307,7 @@ def held_out(id: Column) -> Column:
 
 
 def learn(
-    docs: DataFrame, per_language: int = 250, languages: int = 2000, sample_chars: int = 64_000_000, text: str = "text", id: str = "doc_id", lang: str = "lang"
+    docs: DataFrame, per_language: int = 250, languages: int = 2000, sample_chars: int = 12_000_000, text: str = "text", id: str = "doc_id", lang: str = "lang"
 ) -> Model:
     """Fit on about per_language documents of each language, picked by a hash of
     the id among those with a language that aren't held out.
