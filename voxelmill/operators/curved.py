@@ -290,7 +290,7 @@ def cell_documents(verts: DataFrame, found: DataFrame, chains: DataFrame, cell:
     face = loop.groupBy(*cell, "support").agg(F.array_sort(F.collect_list(F.struct("loop", "of"))).alias("loops"))
     face = face.withColumn("shell", F.col("support").isin(*SHELL))
     f = face.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("support", "shell", "loops"))).alias("faces"), F.max("shell").alias("is_shell"))
-    return v.join(e, cell).join(f, cell).select(*cell, F.to_json(F.struct("is_shell", "vertices", "edges", "faces")).alias("document"))
+    return e.join(f, cell).join(v, cell, "left").select(*cell, F.to_json(F.struct("is_shell", "vertices", "edges", "faces")).alias("document"))
 
 
 def summary(verts: DataFrame, found: DataFrame, face: DataFrame, cell: list[str]) -> DataFrame:
