@@ -164,6 +164,22 @@ def posteriors(emissions: np.ndarray, owner: np.ndarray, switch: np.ndarray) ->
     return forward / forward.sum(axis=1, keepdims=True)
 
 
+def words_in_parts(texts: list[str], part_chars: int = 1 << 19) -> Words:
+    """words_of(texts), a part of the texts at a time, in little memory."""
+    parts, held, size, before, at = [], [], 0, 0, 0
+    for n, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= part_chars or n + 1 == len(texts):
+            w = words_of(held)
+            parts.append(Words([f.astype(np.int32) for f in w.features], w.begins + at, w.lexicon.astype(np.int32), w.text + before))
+            before, at, held, size = n + 1, at + len(w.features[0]), [], 0
+    if not parts:
+        return words_of([])
+    joined = [np.concatenate([w.features[k] for w in parts]) for k in range(len(ORDERS))]
+    return Words(joined, *(np.concatenate([getattr(w, name) for w in parts]) for name in ("begins", "lexicon", "text")))
+
+
 def fit(texts: list[str], langs: list[str], words_most: int = 160_000, passes: int = 30, rate: float = 0.15, decay: float = 1e-6, seed: int = 5) -> Model:
     """A model of the languages in langs, from at most words_most words in
     sequences of 32, drawn from all parts of the texts; every third switches
@@ -175,7 +191,7 @@ def fit(texts: list[str], langs: list[str], words_most: int = 160_000, passes: i
     if len(labels) < 2:
         return model
     rng = np.random.default_rng(seed)
-    words = words_of(texts)
+    words = words_in_parts(texts)
     gold = np.array([number[x] for x in langs])[words.text] if len(words.text) else np.zeros(0, np.int64)
     length = 32
     # windows run over the words of one language, text after text; a language
@@ -190,36 +206,39 @@ def fit(texts: list[str], langs: list[str], words_most: int = 160_000, passes: i
     rows = rng.permutation(rows)[: words_most // length]
     third = np.arange(0, len(rows), 3)
     rows[third, length // 2 :] = rows[rng.permutation(third), length // 2 :]
-    flat = rows.ravel()
-    if not len(flat):
+    if not len(rows):
         return model
-    y = gold[flat]
-    owner = np.repeat(np.arange(len(rows)), length)
     spans = np.diff(np.append(words.begins, len(words.features[0])))
-    positions = np.repeat(words.begins[flat] - np.cumsum(spans[flat]) + spans[flat], spans[flat]) + np.arange(spans[flat].sum())
-    chosen = Words(
-        [f[positions] for f in words.features], np.cumsum(spans[flat]) - spans[flat], words.lexicon[flat], owner
-    )
-    word_of = np.repeat(np.arange(len(flat)), spans[flat])
-    one = np.eye(len(labels))[y]
+    batches = []  # of whole sequences, so that a pass needs little memory
+    for some in np.array_split(rows, -(-len(rows) // 1024)):
+        flat = some.ravel()
+        own = spans[flat]
+        first = np.cumsum(own) - own
+        positions = np.repeat(words.begins[flat] - first, own) + np.arange(own.sum())
+        chosen = Words([f[positions] for f in words.features], first, words.lexicon[flat], np.repeat(np.arange(len(some)), length))
+        batches.append((chosen, gold[flat].astype(np.int8), np.repeat(np.arange(len(flat), dtype=np.int32), own), some.shape))
+    del words, spans
+    total = rows.size
+    y = gold[rows]
     seen = np.zeros((len(labels), len(labels)))
-    np.add.at(seen, (y.reshape(rows.shape)[:, :-1].ravel(), y.reshape(rows.shape)[:, 1:].ravel()), 1)
+    np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     moment, spread = np.zeros_like(model.tables), np.zeros_like(model.tables)
     m2, s2 = np.zeros_like(model.switch), np.zeros_like(model.switch)
     for t in range(1, passes + 1):
-        emissions = model.emissions(chosen)
-        p = posteriors(emissions, owner, model.switch)
-        error = (one - p) / len(flat)
-        grad = np.zeros_like(model.tables)
-        for k, f in enumerate(chosen.features):
+        grad, pairs = np.zeros_like(model.tables), np.zeros_like(model.switch)
+        for chosen, right, word_of, shape in batches:
+            emissions = model.emissions(chosen)
+            p = posteriors(emissions, chosen.text, model.switch)
+            error = (np.eye(len(labels))[right] - p) / total
+            for k, f in enumerate(chosen.features):
+                for c in range(len(labels)):
+                    grad[k, :, c] += np.bincount(np.where(f < 0, entries, f), error[word_of, c], entries + 1)
             for c in range(len(labels)):
-                grad[k, :, c] = np.bincount(np.where(f < 0, entries, f), error[word_of, c], entries + 1)
-        for c in range(len(labels)):
-            grad[-1, :, c] = np.bincount(chosen.lexicon, error[:, c], entries + 1)
+                grad[-1, :, c] += np.bincount(chosen.lexicon, error[:, c], entries + 1)
+            pairs += pair_counts(emissions, p, model.switch, shape)
         grad[:, -1] = 0
         grad -= decay * model.tables
-        pairs = pair_counts(emissions, p, model.switch, rows.shape)
-        g2 = (seen - pairs) / len(flat)
+        g2 = (seen - pairs) / total
         for value, g, m, s in ((model.tables, grad, moment, spread), (model.switch, g2, m2, s2)):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
