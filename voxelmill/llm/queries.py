@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, language_id, license_scan, mixing, packing, pii, secret_scan, simhash
+from ..session import fresh_path
+from . import chat_format, embedding_dedup, exact_dedup, language_id, license_scan, mixing, packing, pii, secret_scan, simhash, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.KINDS)
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token_ids")
+    token_files.write_ids(table(spark, sf_dir, "documents"), path)
+    return token_files.documents(token_files.read_blocks(spark, path))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -77,6 +84,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_pii": op10_pii,
+    "op11_token_output": op11_token_output,
 }
 
 ORACLE_SQL = {
