@@ -32,3 +32,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, without its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of fresh_path that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
