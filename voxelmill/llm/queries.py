@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import chat_format, embedding_dedup, exact_dedup, language_id, license_scan, mixing, packing, pii, secret_scan, simhash, token_files
+from . import chat_format, embedding_dedup, exact_dedup, language_id, license_scan, mixing, packing, pii, secret_scan, simhash, token_files, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(token_files.read_blocks(spark, path))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books, _ = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return vector_codes.code_table(spark, codes, books)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_pii": op10_pii,
     "op11_token_output": op11_token_output,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -100,4 +106,5 @@ SELECT doc_id,
        text_sha256
 FROM d""",
     "op4_license_scan": license_scan.oracle_sql(),
+    "op13_vector_codes": vector_codes.oracle_sql(),
 }
