@@ -28,7 +28,7 @@ END_ID = 0
 #: What may count as white space in the tokenizer's own splitting; more than that does no harm.
 SPACE = "\t\n\v\f\r\x1c-\x1f \x85\xa0  -     　"
 MARK = "\x01"
-CACHED, LONGEST_KEY, RUN = 700_000, 64, 1 << 22
+CACHED, LONGEST_KEY, RUN = 400_000, 64, 1 << 21
 BLOCKS = "part int, block int, first long, n_ids int, docs_before long, doc_ids array<bigint>, doc_starts array<int>, payload binary"
 PIECES = "part int, doc long, doc_id long, begins boolean, first long, length int, ids binary"
 
@@ -50,7 +50,8 @@ class ChunkTokenizer:
 
     def learn(self, chunks: list[str]) -> None:
         """Put the ids of new chunks into the cache."""
-        words = [c for c in chunks if c[0] == " " and len(c) <= LONGEST_KEY and c[1:].isalpha()]
+        # such chunks may stand one behind the other in one text, in which their first tokens begin with a space and no others do
+        words = [c for c in chunks if c[0] == " " and len(c) <= LONGEST_KEY and c.rfind(" ") == 0 and not c[-1].isspace() and "<|" not in c]
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
