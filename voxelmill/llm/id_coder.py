@@ -65,8 +65,8 @@ class Model:
         both = np.arange(len(self.right)) & 1 == 1
         w2 = 1 + self.right[:, 0] * (MIX - 3) // total
         w1 = np.where(both, 0, 1 + self.right[:, 1] * (MIX - 3) // total)
-        self.bound2 = w2
-        self.bound1 = w2 + w1
+        self.bounds = np.stack([np.zeros_like(w2), w2, w2 + w1, np.full_like(w2, MIX)], axis=1)
+        self.bound2, self.bound1, self.bound = self.bounds[:, 1].copy(), self.bounds[:, 2].copy(), self.bounds.ravel()
 
     def rank(self) -> None:
         """Order 0: FREQ parts for the ids seen so far and, first, for new ones."""
@@ -75,11 +75,12 @@ class Model:
         freq = np.empty(len(counts) + 1, np.int64)
         freq[1:] = 1 + counts * (FREQ - len(counts) - 1) // (int(counts.sum()) + self.fresh)
         freq[0] = FREQ - freq[1:].sum()
-        self.freq, self.cum = freq, np.cumsum(freq) - freq
-        self.slot = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-        self.name = np.concatenate([[-1], self.seen])
-        self.place = np.zeros(len(self.counts), np.int32)
-        self.place[self.seen] = np.arange(1, len(self.seen) + 1)
+        # place 0 is the whole range: an id that order 2 or 1 has told; place 1: a new id
+        self.freq, self.cum = np.concatenate([[FREQ], freq]), np.concatenate([[0], np.cumsum(freq) - freq])
+        self.slot = np.repeat(np.arange(1, len(freq) + 1), freq)
+        self.name = np.concatenate([[-2, -1], self.seen])
+        self.place = np.ones(len(self.counts), np.int64)
+        self.place[self.seen] = np.arange(2, len(self.seen) + 2)
 
     @staticmethod
     def key(last: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -87,6 +88,7 @@ class Model:
 
     @staticmethod
     def classes(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """A class tells how sure the orders are and whether they agree (the last bit)."""
         return ((two & SURE) << 4) | ((one & SURE) << 1) | ((one ^ two) <= SURE)
 
     def update(self, ids: np.ndarray, last: np.ndarray, key: np.ndarray, one: np.ndarray, two: np.ndarray, kind: np.ndarray) -> None:
@@ -130,15 +132,13 @@ def encode(ids: np.ndarray) -> bytes:
         key = model.key(last, before)
         one, two = model.order1[last], model.order2[key]
         kind = model.classes(one, two)
-        b2, b1 = model.bound2[kind], model.bound1[kind]
         is2, is1 = two >> 3 == now, one >> 3 == now
-        start = np.where(is2, 0, np.where(is1, b2, b1))
-        part = np.where(is2, b2, np.where(is1, b1 - b2, MIX - b1))
-        held = is2 | is1
-        place = model.place[now]
+        which = np.where(is2, 0, np.where(is1, 1, 2)) + 4 * kind.astype(np.int64)
+        start = model.bound[which]
+        part = model.bound[which + 1] - start
+        place = model.place[now] * ~(is2 | is1)
         cum, freq = model.cum[place], model.freq[place]
-        cum[held], freq[held] = 0, FREQ
-        new = (place == 0) & ~held
+        new = place == 1
         shape = (end - begin, lanes)
         start, part, cum, freq, new = (x.reshape(shape) for x in (start, part, cum, freq, new))
         any_new = new.any(1)
@@ -202,23 +202,27 @@ def decode(block: bytes) -> np.ndarray:
             one, two = model.order1[last], model.order2[key]
             kind = model.classes(one, two)
             kept.append((key, one, two, kind))
-            b2, b1 = model.bound2[kind], model.bound1[kind]
             width >>= MIX_BITS
             # exact: both are below 2^48, so the quotient's floor is right in double precision
-            mixed = (code / width).astype(np.int64)
-            is2, none = mixed < b2, mixed >= b1
-            start = np.where(is2, 0, np.where(none, b1, b2))
+            mixed = code / width
+            none = mixed >= model.bound1[kind]
+            which = 4 * kind
+            which += mixed >= model.bound2[kind]
+            which += none
+            start = model.bound[which]
             code -= width * start
-            width *= np.where(is2, b2, np.where(none, MIX, b1)) - start
+            width *= model.bound[which + 1] - start
             width >>= FREQ_BITS
             place = model.slot[np.minimum((code / width).astype(np.int64), FREQ - 1)]
             place *= none
-            code -= width * np.where(none, model.cum[place], 0)
-            width *= np.where(none, model.freq[place], FREQ)
-            now = np.where(none, model.name[place], np.where(is2, two, one) >> 3)
+            code -= width * model.cum[place]
+            width *= model.freq[place]
+            now = model.name[place]
+            told = np.flatnonzero(place == 0)
+            now[told] = np.where(which[told] & 3 == 0, two[told], one[told]) >> 3
             take()
-            if (now < 0).any():
-                at = np.flatnonzero(now < 0)
+            if (place == 1).any():
+                at = np.flatnonzero(place == 1)
                 now[at] = 0
                 for _ in range(0, bits, 8):
                     width[at] >>= 8

@@ -9,6 +9,7 @@ read by itself: it lists the documents that begin in it, and where.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: What may count as white space in the tokenizer's own splitting; more than that does no harm.
 SPACE = "\t\n\v\f\r\x1c-\x1f \x85\xa0  -     　"
-MARK = "\x01"
-CACHED, LONGEST_KEY, RUN = 400_000, 64, 1 << 21
+MARK, TAIL = "\x01", ".,;:!?"
+CACHED, LONGEST_KEY, RUN = 800_000, 64, 1 << 21
 BLOCKS = "part int, block int, first long, n_ids int, docs_before long, doc_ids array<bigint>, doc_starts array<int>, payload binary"
 PIECES = "part int, doc long, doc_id long, begins boolean, first long, length int, ids binary"
 
@@ -46,40 +47,71 @@ class ChunkTokenizer:
         names = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(names.values()) + 1, bool)  # ids that begin with a space
         self.opens[[n for name, n in names.items() if name[:1] == "Ġ"]] = True
-        self.store = Store()
-
-    def learn(self, chunks: list[str]) -> None:
-        """Put the ids of new chunks into the cache."""
-        # such chunks may stand one behind the other in one text, in which their first tokens begin with a space and no others do
-        words = [c for c in chunks if c[0] == " " and len(c) <= LONGEST_KEY and c.rfind(" ") == 0 and not c[-1].isspace() and "<|" not in c]
+        self.store, self.came = Store(), np.zeros(0, np.int32)
+
+    def forget(self) -> None:
+        """Start the cache anew with what came in several runs of texts."""
+        names, often = list(self.store.number), np.flatnonzero(self.came[: len(self.store.number)] > 1)
+        ids, _ = self.store.rows(often)
+        lengths = self.store.length[often]
+        self.store, self.came = Store(), np.zeros(0, np.int32)
+        if 0 < len(often) < CACHED // 2:
+            self.store.add([names[k] for k in often.tolist()], ids, lengths)
+
+    def add(self, pieces: list[str]) -> None:
+        """Put the ids of new pieces into the cache."""
+        # such pieces may stand one behind the other in one text, in which their first tokens begin with a space and no others do
+        words = [c for c in pieces if c[0] == " " and len(c) <= LONGEST_KEY and c.rfind(" ") == 0 and not c[-1].isspace() and "<|" not in c]
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             begin = np.flatnonzero(self.opens[ids])
             if len(begin) == len(some) and not begin[0]:
                 self.store.add(some, ids, np.diff(begin, append=len(ids)))
-        rest = [c for c in chunks if c not in self.store.number]
+        rest = [c for c in pieces if c not in self.store.number]
         if rest:
             got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
             self.store.add(rest, np.concatenate(got), np.array([len(x) for x in got]))
 
+    def learn(self, chunks: list[str]) -> None:
+        """Put the ids of new chunks into the cache. What ends a word of letters is a piece of its own, as the tokenizer has it."""
+        known, split, pieces = self.store.number, [], set()
+        for c in chunks:
+            word = c.rstrip(TAIL)
+            if len(word) < len(c) and word[1:].isalpha():
+                split.append((c, word, c[len(word) :]))
+                pieces.update(split[-1][1:])
+            else:
+                pieces.add(c)
+        self.add(sorted(pieces.difference(known)))
+        if split:
+            lengths = self.store.length[self.store.numbers([x for s in split for x in s[1:]])].reshape(-1, 2).sum(1)
+            ids, _ = self.store.rows(self.store.numbers([x for s in split for x in s[1:]]))
+            self.store.add([s[0] for s in split], ids, lengths)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
         if len(self.store.number) > CACHED or self.store.used > 16 * CACHED:
-            self.store = Store()
+            self.forget()
         texts = texts.cast(pa.large_string())
-        marked = pc.replace_substring(texts, " ", MARK + " ")
-        if pc.any(odd := pc.match_substring_regex(texts, f"[{SPACE}] ")).as_py():
+        # a line end between signs that aren't white space is a token of its own
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", MARK + "\n" + MARK)
+        if pc.any(odd := pc.match_substring_regex(texts, f"[{SPACE}][{SPACE}]|^\n|\n$")).as_py():
             some = pc.replace_substring_regex(texts.filter(odd), f"([^{SPACE}]) ", "\\1" + MARK + " ")
             marked = pc.replace_with_mask(marked, odd, some)
         split = pc.split_pattern(marked, MARK)
         flat, offsets = split.flatten(), split.offsets.to_numpy()
         coded = flat.dictionary_encode()
-        names, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        names, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         known = self.store.number
-        if new := [c for c in names if c and c not in known]:
-            self.learn(new)
-        number = np.fromiter((known[c] if c else -1 for c in names), np.int64, len(names))
+        number = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(number < 0).tolist()
+        if some := [names[k] for k in new if names[k]]:
+            self.learn(some)
+            number[new] = np.fromiter(map(known.get, [names[k] for k in new], repeat(-1)), np.int64, len(new))
+        if len(self.came) < len(known):
+            self.came = np.concatenate([self.came, np.zeros(len(known), np.int32)])
+        self.came[number[number >= 0]] += 1
         at = number[place] if len(place) else np.zeros(0, np.int64)
         lengths = np.where(at >= 0, self.store.length[at], 0)
         ids, _ = self.store.rows(at[at >= 0])
