@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import chat_format, embedding_dedup, exact_dedup, language_id, license_scan, mixing, packing, pii, secret_scan, simhash, token_files, vector_codes
+from . import chat_format, conversation_repair, embedding_dedup, exact_dedup, language_id, license_scan, mixing, packing, pii, secret_scan, simhash, token_files, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,12 @@ def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(token_files.read_blocks(spark, path))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(conversation_repair.damage(turns))
+    return conversation_repair.repaired_table(turns, found)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books, _ = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
     return vector_codes.code_table(spark, codes, books)
@@ -90,6 +96,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_pii": op10_pii,
     "op11_token_output": op11_token_output,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -106,5 +113,6 @@ SELECT doc_id,
        text_sha256
 FROM d""",
     "op4_license_scan": license_scan.oracle_sql(),
+    "op12_conversation_repair": conversation_repair.oracle_sql(),
     "op13_vector_codes": vector_codes.oracle_sql(),
 }
