@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bands, density, grid, neighbours, sampling
 from ..operators.prefix import running_sum
-from .tables import NX, NY, NZ, POINTS, SEGMENTS, VOXELS, points, segments, table, voxels
+from .tables import KEYED, NX, NY, NZ, POINTS, SEGMENTS, VOXELS, keyed_voxels, points, segments, table, voxels
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -22,13 +22,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _flat(vox: DataFrame) -> DataFrame:
-    return vox.withColumn("k", density.flat_index(F.col("x"), F.col("y"), F.col("z"), NY, NZ))
-
-
-@query(f"WITH {VOXELS} SELECT x, y, z, density_milli, CAST((CAST(x AS BIGINT) * {NY} + y) * {NZ} + z AS BIGINT) AS k FROM vox")
+@query(f"WITH {KEYED} SELECT x, y, z, density_milli, k FROM keyed")
 def voxelize_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(voxels(spark, sf_dir))
+    return keyed_voxels(spark, sf_dir)
 
 
 @query(
@@ -51,25 +47,23 @@ def quantize_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {VOXELS} SELECT CAST((CAST(x AS BIGINT) * {NY} + y) * {NZ} + z AS BIGINT) AS k,
-       CAST(sum(density_milli * density_milli) OVER (ORDER BY (CAST(x AS BIGINT) * {NY} + y) * {NZ} + z) AS BIGINT) AS cdf FROM vox"""
+    f"WITH {KEYED} SELECT k, CAST(sum(density_milli * density_milli) OVER (ORDER BY k) AS BIGINT) AS cdf FROM keyed"
 )
 def density_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vox = _flat(voxels(spark, sf_dir))
+    vox = keyed_voxels(spark, sf_dir)
     return running_sum(vox, [F.col("k")], F.col("density_milli") * F.col("density_milli"), "cdf").select("k", "cdf")
 
 
 def _sample(spark: SparkSession, sf_dir: str, right: bool) -> DataFrame:
-    cdf = sampling.cumulative(_flat(voxels(spark, sf_dir)), [F.col("k")], F.col("density_milli") * F.col("density_milli"))
+    cdf = sampling.cumulative(keyed_voxels(spark, sf_dir), [F.col("k")], F.col("density_milli") * F.col("density_milli"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey")
     total, n = cdf.agg(F.max("high")).first()[0] or 0, max(1, supplier.count())
     draws = supplier.withColumn("at", (F.col("s_suppkey") + 0.5) / float(n) * float(total))
     return sampling.draw(cdf, draws, "at", float(total), right).select("s_suppkey", "k", "x", "y", "z")
 
 
-_DRAWS = f"""WITH {VOXELS}, c AS (
-  SELECT x, y, z, CAST((CAST(x AS BIGINT) * {NY} + y) * {NZ} + z AS BIGINT) AS k, density_milli * density_milli AS w,
-         sum(density_milli * density_milli) OVER (ORDER BY (CAST(x AS BIGINT) * {NY} + y) * {NZ} + z) AS high FROM vox),
+_DRAWS = f"""WITH {KEYED}, c AS (
+  SELECT x, y, z, k, density_milli * density_milli AS w, sum(density_milli * density_milli) OVER (ORDER BY k) AS high FROM keyed),
 t AS (SELECT CAST(max(high) AS DOUBLE) AS total FROM c), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM supplier),
 d AS (SELECT s_suppkey, (s_suppkey + 0.5::DOUBLE) / n * total AS r FROM supplier, t, n)
 SELECT s_suppkey, k, x, y, z FROM d JOIN c ON """
@@ -212,11 +206,11 @@ _RESAMPLE = " UNION ALL ".join(
 
 
 @query(
-    f"""WITH {VOXELS}, f AS (SELECT *, CAST((CAST(x AS BIGINT) * {NY} + y) * {NZ} + z AS BIGINT) AS k FROM vox), w AS ({_RESAMPLE})
+    f"""WITH {KEYED}, f AS (SELECT * FROM keyed), w AS ({_RESAMPLE})
 SELECT k AS id, round(sum(w), 6) AS value FROM w GROUP BY k"""
 )
 def trilinear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vox = _flat(voxels(spark, sf_dir))
+    vox = keyed_voxels(spark, sf_dir)
     targets = vox.select(F.col("k").alias("id"), (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y"), (F.col("z") + 0.75).alias("z"))
     return grid.trilinear(targets, vox, "density_milli").select("id", F.round("value", 6).alias("value"))
 
@@ -309,7 +303,7 @@ SELECT seed_id, count(*) AS voxels, CAST(sum(density_milli) AS BIGINT) AS mass F
 )
 def density_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field to cells: probabilities, weighted seeds, nearest-seed labels, cell masses."""
-    vox = _flat(voxels(spark, sf_dir))
+    vox = keyed_voxels(spark, sf_dir)
     drawn = _sample(spark, sf_dir, True)
     seeds = drawn.select(F.col("s_suppkey").alias("seed_id"), *[(F.col(a) + 0.5).alias(a) for a in "xyz"])
     near = neighbours.nearest_seed(vox.select(F.col("k").alias("point_id"), *[(F.col(a) + 0.5).alias(a) for a in "xyz"]), seeds)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import density
@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def layers(spark: SparkSession, sf_dir: str) -> int:
-    """How many times NZ high the grid is, so that a voxel holds about two lines at any size."""
-    return max(1, table(spark, sf_dir, "lineitem").count() // LINES_A_LAYER)
+def layers(spark: SparkSession, sf_dir: str) -> Column:
+    """How many times NZ high the grid is, so that a voxel holds about two lines
+    at any size: a scalar of the plan."""
+    n = F.floor(F.count("*") / LINES_A_LAYER)
+    return table(spark, sf_dir, "lineitem").agg(F.greatest(F.lit(1), n).alias("n")).scalar()
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +29,19 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.voxelise(li, F.col("l_partkey") % NX, F.col("l_suppkey") % NY, z, F.col("l_quantity").cast("long"))
 
 
+def keyed_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """voxels with k, the place of each in the whole grid."""
+    high = layers(spark, sf_dir) * NZ
+    return voxels(spark, sf_dir).withColumn("k", density.flat_index(F.col("x"), F.col("y"), F.col("z"), NY, high))
+
+
+_LAYERS = f"(SELECT greatest(1, count(*) // {LINES_A_LAYER}) FROM lineitem)"
 VOXELS = f"""vox AS (
   SELECT CAST(l_partkey % {NX} AS INT) AS x, CAST(l_suppkey % {NY} AS INT) AS y,
-         CAST(CAST(trunc(l_quantity) AS INT) % {NZ} + l_orderkey % (SELECT greatest(1, count(*) // {LINES_A_LAYER}) FROM lineitem) * {NZ} AS INT) AS z,
+         CAST(CAST(trunc(l_quantity) AS INT) % {NZ} + l_orderkey % {_LAYERS} * {NZ} AS INT) AS z,
          CAST(least(1000, sum(CAST(trunc(l_quantity) AS BIGINT))) AS BIGINT) AS density_milli
   FROM lineitem GROUP BY 1, 2, 3)"""
+KEYED = f"""{VOXELS}, keyed AS (SELECT *, CAST((CAST(x AS BIGINT) * {NY} + y) * {NZ} * {_LAYERS} + z AS BIGINT) AS k FROM vox)"""
 
 
 def supplier_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
