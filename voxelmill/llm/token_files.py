@@ -29,7 +29,7 @@ END_ID = 0
 #: What may count as white space in the tokenizer's own splitting; more than that does no harm.
 SPACE = "\t\n\v\f\r\x1c-\x1f \x85\xa0  -     　"
 MARK, TAIL = "\x01", ".,;:!?"
-CACHED, LONGEST_KEY, RUN = 800_000, 64, 1 << 21
+CACHED, LONGEST_KEY, RUN = 350_000, 64, 1 << 20
 BLOCKS = "part int, block int, first long, n_ids int, docs_before long, doc_ids array<bigint>, doc_starts array<int>, payload binary"
 PIECES = "part int, doc long, doc_id long, begins boolean, first long, length int, ids binary"
 
