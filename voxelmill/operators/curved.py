@@ -11,6 +11,7 @@ neighbours. Tables carry the columns of `cell`, which name a cell.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -39,6 +40,10 @@ class HollowCylinder:
         middle = (xy_size - 1) / 2
         return cls(middle, middle, inner, outer, 0.5, z_size - 0.5)
 
+    @property
+    def box(self) -> tuple[tuple[float, float, float], tuple[float, float, float]]:
+        return (self.cx - self.outer, self.cy - self.outer, self.low), (self.cx + self.outer, self.cy + self.outer, self.high)
+
     @property
     def volume(self) -> float:
         return math.pi * (self.outer**2 - self.inner**2) * (self.high - self.low)
@@ -77,21 +82,25 @@ def bisector_supports(halfspaces: DataFrame, cell: list[str], other: str) -> Dat
     return halfspaces.select(*cell, F.concat(F.lit("bisector:"), F.col(other).cast("string")).alias("key"), F.lit("plane").alias("kind"), "nx", "ny", "nz", "rhs", *none)
 
 
-def excess(x: Column, y: Column, z: Column) -> Column:
-    """By how much a point violates a support (columns of COLUMNS): planes by
+def excess(x: Column, y: Column, z: Column, s: Callable[[str], Column] = F.col) -> Column:
+    """By how much a point violates a support (s gives its COLUMNS): planes by
     n p - rhs, the outer cylinder from outside, the inner one from inside, any
     other on both sides."""
-    radial = F.hypot(x - F.col("cx"), y - F.col("cy"))
-    plane = F.col("nx") * x + F.col("ny") * y + F.col("nz") * z - F.col("rhs")
-    off = radial - F.col("radius")
-    return F.when(F.col("kind") == "plane", plane).when(F.col("key") == "outer_cylinder", off).when(F.col("key") == "inner_cylinder", -off).otherwise(F.abs(off))
+    radial = F.hypot(x - s("cx"), y - s("cy"))
+    plane = s("nx") * x + s("ny") * y + s("nz") * z - s("rhs")
+    off = radial - s("radius")
+    return F.when(s("kind") == "plane", plane).when(s("key") == "outer_cylinder", off).when(s("key") == "inner_cylinder", -off).otherwise(F.abs(off))
+
+
+def gathered(supports: DataFrame, cell: list[str]) -> DataFrame:
+    """(cell, s): the supports of each cell, about as many as a seed has neighbours, as an array."""
+    return supports.groupBy(*cell).agg(F.collect_list(F.struct(*COLUMNS)).alias("s"))
 
 
-def inside(points: DataFrame, supports: DataFrame, cell: list[str], id: list[str], at: tuple[str, str, str] = ("x", "y", "z"), tol: float = INSIDE) -> DataFrame:
-    """The points (cell, id, at, others) that violate no support of their cell."""
-    tested = points.select(*cell, *id, *at).join(supports, cell).withColumn("__e", excess(*map(F.col, at)))
-    worst = tested.groupBy(*cell, *id).agg(F.max("__e").alias("__e")).filter(F.col("__e") <= tol)
-    return points.join(worst.drop("__e"), [*cell, *id], "left_semi")
+def inside(points: DataFrame, supports: DataFrame, cell: list[str], at: tuple[str, str, str] = ("x", "y", "z"), tol: float = INSIDE) -> DataFrame:
+    """The points (cell, at, others) that violate no support of their cell."""
+    holds = F.forall("s", lambda s: excess(*map(F.col, at), lambda c: s[c]) <= tol)
+    return points.join(gathered(supports, cell), cell).filter(holds).drop("s")
 
 
 def plane_pairs_on_cylinders(supports: DataFrame, cell: list[str]) -> DataFrame:
@@ -121,11 +130,9 @@ def vertices(supports: DataFrame, cell: list[str], scale: float = 1e6) -> DataFr
     triples = plane_triples(supports.filter("kind = 'plane'"), cell)
     found = triples.unionByName(plane_pairs_on_cylinders(supports, cell))
     grid = [F.rint(F.col(a) * scale).cast("long").alias(f"q{a}") for a in "xyz"]
-    found = found.groupBy(*cell, *grid).agg(*[F.min_by(a, F.struct("ak", "bk", "ck")).alias(a) for a in "xyz"])
-    tested = found.join(supports, cell).withColumn("e", excess(F.col("x"), F.col("y"), F.col("z")))
-    on = F.collect_list(F.when(F.abs("e") <= ON, F.col("key")))
-    kept = tested.groupBy(*cell, "qx", "qy", "qz").agg(F.max("e").alias("worst"), F.array_sort(on).alias("keys"), *[F.first(a).alias(a) for a in "xyz"])
-    kept = kept.filter(F.col("worst") <= INSIDE)
+    kept = inside(found, supports, cell).groupBy(*cell, *grid).agg(*[F.min_by(a, F.struct("ak", "bk", "ck")).alias(a) for a in "xyz"])
+    on = F.filter("s", lambda s: F.abs(excess(F.col("x"), F.col("y"), F.col("z"), lambda c: s[c])) <= ON)
+    kept = kept.join(gathered(supports, cell), cell).withColumn("keys", F.array_sort(F.transform(on, lambda s: s["key"])))
     number = F.row_number().over(Window.partitionBy(*cell).orderBy("qx", "qy", "qz")) - 1
     return kept.select(*cell, number.alias("vertex"), "x", "y", "z", "keys")
 
@@ -184,7 +191,7 @@ def edges(verts: DataFrame, supports: DataFrame, cell: list[str]) -> DataFrame:
         *cell, "a", "b", "kind", F.col("vertex").alias("start"), F.col("e_vertex").alias("end"), *[F.col(n).alias(f"s{n}") for n in "xyz"],
         *[F.col(f"e_{n}").alias(f"e{n}") for n in "xyz"], "mx", "my", "mz", "ox", "oy", "r", "pnx", "pny", "pnz", "prhs",
     )
-    t = inside(t, supports, cell, ["a", "b", "start", "end"], ("mx", "my", "mz"))
+    t = inside(t, supports, cell, ("mx", "my", "mz"))
     t = t.unionByName(whole_curves(pairs, supports, cell))
     number = F.row_number().over(Window.partitionBy(*cell).orderBy("a", "b", "start", "end")) - 1
     return t.withColumn("edge", number)
@@ -199,7 +206,7 @@ def whole_curves(pairs: DataFrame, supports: DataFrame, cell: list[str]) -> Data
     t = p.join(r, cell).withColumns({"a": F.least("pk", "rk"), "b": F.greatest("pk", "rk")}).join(pairs.select(*cell, "a", "b").distinct(), [*cell, "a", "b"], "left_anti")
     t = t.withColumns({"mx": c("ox") + c("r"), "my": c("oy")})
     t = t.withColumn("mz", F.try_divide(c("prhs") - c("pnx") * c("mx") - c("pny") * c("my"), c("pnz")))
-    t = inside(t, supports, cell, ["a", "b"], ("mx", "my", "mz"))
+    t = inside(t, supports, cell, ("mx", "my", "mz"))
     kind = F.when(c("pk").isin("top_cap", "bottom_cap"), "circle_arc").otherwise("cylinder_plane_curve")
     none = F.lit(-1)
     return t.select(

@@ -82,9 +82,14 @@ def halfspaces(seeds: DataFrame, group: list[str], most: int | None = None) -> D
     if most is not None:
         near = Window.partitionBy(*group, "seed_id").orderBy("d2", "neighbour_id")
         pairs = pairs.withColumn("__n", F.row_number().over(near)).filter(F.col("__n") <= most)
+    return pairs.select(*group, "seed_id", "neighbour_id", *bisector())
+
+
+def bisector() -> list[Column]:
+    """nx, ny, nz, rhs: the half-space n p <= rhs of the places nearer to a than to b (columns ax .. bz)."""
     normals = [(2 * (F.col(f"b{a}") - F.col(f"a{a}"))).alias(f"n{a}") for a in AXES]
     rhs = sum((F.col(f"b{a}") * F.col(f"b{a}") - F.col(f"a{a}") * F.col(f"a{a}") for a in AXES[1:]), F.col("bx") * F.col("bx") - F.col("ax") * F.col("ax"))
-    return pairs.select(*group, "seed_id", "neighbour_id", *normals, rhs.alias("rhs"))
+    return [*normals, rhs.alias("rhs")]
 
 
 def members(points: DataFrame, planes: DataFrame, group: list[str], tol: float = 1e-9) -> DataFrame:

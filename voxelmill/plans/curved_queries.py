@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import curved, neighbours, shells
+from ..operators import curved, diagram, shells
 from ..session import cut
-from .tables import SUPPLIER_SEEDS as _SEEDS
-from .tables import VOXELS, voxels
-from .tables import supplier_seeds as _seeds
+from .tables import VOXELS, label_seeds, label_seeds_sql, voxels
 
 QUERIES, ORACLE_SQL = {}, {}
 CELL = ["g", "seed_id"]
 DOMAIN = curved.HollowCylinder(0.5, -0.5, 2.0, 5.0, 0.0, 10.0)
+_SEEDS = label_seeds_sql()
 
 
 def query(sql: str | None = None):
@@ -27,9 +26,10 @@ def query(sql: str | None = None):
 
 
 def _supports(spark: SparkSession, sf_dir: str, box: bool = False) -> DataFrame:
-    """The supports of each supplier's cell among those of its group (eight or so)."""
-    seeds = _seeds(spark, sf_dir)
-    planes = curved.bisector_supports(neighbours.halfspaces(seeds, ["g"]), CELL, "neighbour_id")
+    """The supports of each cell of the labels' diagrams: those of its certified neighbours, and the domain's."""
+    seeds = cut(label_seeds(spark, sf_dir))
+    graph = diagram.neighbour_graph(seeds, "g", diagram.box_about(seeds, DOMAIN.box))
+    planes = curved.bisector_supports(diagram.bisectors(graph, seeds, "g"), CELL, "neighbour_id")
     cells = seeds.select(*CELL)
     return cut(planes.unionByName((curved.box_supports if box else curved.shell_supports)(cells, DOMAIN)))
 
@@ -67,8 +67,12 @@ lp AS (SELECT *, ((ar*bb - br*ab)*ax + (br*aa - ar*ab)*bx) / dd AS px, ((ar*bb -
 lc AS (SELECT lp.*, dx*dx + dy*dy AS qa, ((px - r.cx)*dx + (py - r.cy)*dy) / (dx*dx + dy*dy) AS qb, (pow(px - r.cx, 2) + pow(py - r.cy, 2) - r.radius*r.radius) / (dx*dx + dy*dy) AS qc
   FROM lp JOIN sup r ON lp.g = r.g AND lp.seed_id = r.seed_id AND r.kind = 'cylinder' WHERE dx*dx + dy*dy > 1e-12),
 roots AS (SELECT *, unnest([-qb - sqrt(qb*qb - qc), -qb + sqrt(qb*qb - qc)]) AS t FROM lc WHERE qb*qb - qc >= 0),
-cand AS (SELECT g, seed_id, u / det AS x, v / det AS y, w / det AS z FROM tri WHERE abs(det) > 1e-12
+every AS (SELECT g, seed_id, u / det AS x, v / det AS y, w / det AS z FROM tri WHERE abs(det) > 1e-12
   UNION ALL SELECT g, seed_id, px + t*dx, py + t*dy, pz + t*dz FROM roots),
+-- what the domain or the nearest dozen bisectors rule out goes first, all supports decide on the rest
+dozen AS (SELECT * FROM bis QUALIFY row_number() OVER (PARTITION BY g, seed_id ORDER BY nx*nx + ny*ny + nz*nz) <= 12),
+boxed AS (SELECT * FROM every WHERE z BETWEEN -1e-5 AND 10 + 1e-5 AND x BETWEEN -4.5 - 1e-5 AND 5.5 + 1e-5 AND y BETWEEN -5.5 - 1e-5 AND 4.5 + 1e-5),
+cand AS (SELECT * FROM boxed p ANTI JOIN dozen d ON d.g = p.g AND d.seed_id = p.seed_id AND d.nx * p.x + d.ny * p.y + d.nz * p.z - d.rhs > 1e-6),
 grid AS (SELECT g, seed_id, round(x * 1e6) AS qx, round(y * 1e6) AS qy, round(z * 1e6) AS qz, min(x) AS x, min(y) AS y, min(z) AS z FROM cand GROUP BY ALL),
 tst AS (SELECT grid.*, key, {_excess("grid.x", "grid.y", "grid.z")} AS e FROM grid JOIN sup USING (g, seed_id)),
 vert AS (SELECT g, seed_id, qx, qy, qz, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, list_sort(list(key) FILTER (abs(e) <= 1e-6)) AS keys,

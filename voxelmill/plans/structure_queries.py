@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import checks, decks, geometry, neighbours, ordered
+from ..operators import checks, decks, diagram, geometry, neighbours, ordered
 from ..operators.prefix import group_index
 from ..session import cut
-from .tables import SEGMENTS, SUPPLIER_SEEDS, points, segments, supplier_seeds, table
+from .tables import SEGMENTS, label_seeds, label_seeds_sql, points, segments, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -78,17 +78,19 @@ def edge_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supports of each seed's cell: bisectors with all other seeds of its group
-    (key 7 on), and the box -12..12 (keys 1 to 6)."""
-    seeds = supplier_seeds(spark, sf_dir).withColumnRenamed("g", "label")
-    half = neighbours.halfspaces(seeds, ["label"]).select("label", "seed_id", (F.col("neighbour_id") + 7).alias("key"), "nx", "ny", "nz", "rhs")
+    """Supports of each seed's cell in its label's diagram: bisectors with its
+    neighbours (key 7 on), and the box -12..12 (keys 1 to 6)."""
+    seeds = cut(label_seeds(spark, sf_dir, (0.0, 0.0, 0.0)).withColumnRenamed("g", "label"))
+    graph = diagram.neighbour_graph(seeds, "label", diagram.box_about(seeds, ((-12.0,) * 3, (12.0,) * 3)))
+    half = diagram.bisectors(graph, seeds, "label").select("label", "seed_id", (F.col("neighbour_id") + 7).alias("key"), "nx", "ny", "nz", "rhs")
     sides = [(i + 1, *[s if a == axis else 0.0 for a in range(3)], 12.0) for i, (axis, s) in enumerate((a, s) for a in range(3) for s in (1.0, -1.0))]
     rows = [F.struct(F.lit(k).cast("long").alias("key"), F.lit(x).alias("nx"), F.lit(y).alias("ny"), F.lit(z).alias("nz"), F.lit(r).alias("rhs")) for k, x, y, z, r in sides]
     box = seeds.select("label", "seed_id", F.explode(F.array(*rows)).alias("b")).select("label", "seed_id", "b.*")
-    return half.union(box)
+    return cut(half.union(box))
 
 
-_PLANES = f"""{SUPPLIER_SEEDS.replace("s AS (", "s0 AS (", 1)}, s AS (SELECT g AS label, id AS seed_id, x, y, z FROM s0), h AS (
+#: All planes of a label's seeds, the vertices of each cell (v), and the planes that touch it (near).
+_PLANES = f"""{label_seeds_sql((0.0, 0.0, 0.0)).replace("s AS (", "s0 AS (", 1)}, s AS (SELECT g AS label, id AS seed_id, x, y, z FROM s0), h AS (
   SELECT a.label, a.seed_id, b.seed_id + 7 AS key, 2 * (b.x - a.x) AS nx, 2 * (b.y - a.y) AS ny, 2 * (b.z - a.z) AS nz,
          b.x * b.x + b.y * b.y + b.z * b.z - a.x * a.x - a.y * a.y - a.z * a.z AS rhs
   FROM s a JOIN s b ON a.label = b.label AND a.seed_id <> b.seed_id),
@@ -100,17 +102,24 @@ t AS (SELECT a.seed_id, a.key AS ak, b.key AS bk, c.key AS ck,
   a.nx * (b.rhs * c.nz - b.nz * c.rhs) - a.rhs * (b.nx * c.nz - b.nz * c.nx) + a.nz * (b.nx * c.rhs - b.rhs * c.nx) AS dy,
   a.nx * (b.ny * c.rhs - b.rhs * c.ny) - a.ny * (b.nx * c.rhs - b.rhs * c.nx) + a.rhs * (b.nx * c.ny - b.ny * c.nx) AS dz
   FROM pl a JOIN pl b ON b.seed_id = a.seed_id AND b.key > a.key JOIN pl c ON c.seed_id = a.seed_id AND c.key > b.key),
-q AS (SELECT seed_id, ak, bk, ck, dx / det AS x, dy / det AS y, dz / det AS z FROM t WHERE abs(det) > 1e-12)"""
+q AS (SELECT seed_id, ak, bk, ck, dx / det AS x, dy / det AS y, dz / det AS z FROM t WHERE abs(det) > 1e-12),
+b12 AS (SELECT * FROM q WHERE abs(x) <= 12 + 1e-6 AND abs(y) <= 12 + 1e-6 AND abs(z) <= 12 + 1e-6),
+dozen AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY nx*nx + ny*ny + nz*nz) <= 12),
+few AS (SELECT * FROM b12 p ANTI JOIN dozen d ON d.seed_id = p.seed_id AND d.nx * p.x + d.ny * p.y + d.nz * p.z - d.rhs > 1e-6),
+v AS (SELECT * FROM few q WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.seed_id = q.seed_id AND pl.nx * q.x + pl.ny * q.y + pl.nz * q.z - pl.rhs > 1e-6))"""
 
 
-@query(f"WITH {_PLANES} SELECT seed_id, count(*) AS triples FROM q GROUP BY seed_id")
+@query(
+    f"""WITH {_PLANES}, near AS (SELECT DISTINCT seed_id, unnest([ak, bk, ck]) AS key FROM v UNION SELECT s.seed_id, box.key FROM s, box)
+SELECT t.seed_id, count(*) AS triples FROM t JOIN near a ON a.seed_id = t.seed_id AND a.key = ak JOIN near b ON b.seed_id = t.seed_id AND b.key = bk
+JOIN near c ON c.seed_id = t.seed_id AND c.key = ck WHERE abs(det) > 1e-12 GROUP BY t.seed_id"""
+)
 def plane_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.plane_triples(_planes(spark, sf_dir), ["label", "seed_id"]).groupBy("seed_id").agg(F.count("*").alias("triples"))
 
 
 @query(
-    f"""WITH {_PLANES}, v AS (SELECT * FROM q WHERE NOT EXISTS (
-  SELECT 1 FROM pl WHERE pl.seed_id = q.seed_id AND pl.nx * q.x + pl.ny * q.y + pl.nz * q.z - pl.rhs > 1e-6)),
+    f"""WITH {_PLANES},
 d AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY seed_id, round_even(x * 1e5, 0), round_even(y * 1e5, 0), round_even(z * 1e5, 0) ORDER BY ak, bk, ck) = 1)
 SELECT seed_id, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM d"""
 )

@@ -45,15 +45,15 @@ KEYED = f"""{VOXELS}, keyed AS (SELECT *, CAST((CAST(x AS BIGINT) * {NY} + y) *
 
 
 def supplier_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as seeds about a cylinder, in groups of eight or so, whatever their number."""
+    """Suppliers as seeds about a cylinder, one diagram for each nation."""
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
-        F.concat_ws("-", F.col("s_nationkey").cast("string"), F.floor(k / 200).cast("string")).alias("g"), k.alias("seed_id"),
+        F.col("s_nationkey").cast("string").alias("g"), k.alias("seed_id"),
         (F.cos(k.cast("double")) * 4.0 + (k % 3)).alias("x"), (F.sin(k.cast("double")) * 4.0 - (k % 5) * 0.5).alias("y"), ((k % 11) * 1.0).alias("z"),
     )
 
 
-SUPPLIER_SEEDS = """s AS (SELECT s_nationkey || '-' || (s_suppkey // 200) AS g, s_suppkey AS id, cos(s_suppkey::DOUBLE) * 4 + s_suppkey % 3 AS x,
+SUPPLIER_SEEDS = """s AS (SELECT CAST(s_nationkey AS VARCHAR) AS g, s_suppkey AS id, cos(s_suppkey::DOUBLE) * 4 + s_suppkey % 3 AS x,
   sin(s_suppkey::DOUBLE) * 4 - (s_suppkey % 5) * 0.5::DOUBLE AS y, (s_suppkey % 11)::DOUBLE AS z FROM supplier)"""
 
 
@@ -65,6 +65,22 @@ def all_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("label", "x", "y", "z").agg(F.min("vec_id").alias("seed_id"))
 
 
+SCALE, MIDDLE = 16.0, (0.5, -0.5, 5.0)
+
+
+def label_seeds(spark: SparkSession, sf_dir: str, middle: tuple[float, float, float] = MIDDLE) -> DataFrame:
+    """all_seeds as one diagram for each label (g), SCALE times as large about a middle."""
+    seeds = all_seeds(spark, sf_dir).filter("label IS NOT NULL")
+    return seeds.select(F.col("label").cast("string").alias("g"), "seed_id", *[(F.col(a) * SCALE + m).alias(a) for a, m in zip("xyz", middle, strict=True)])
+
+
+def label_seeds_sql(middle: tuple[float, float, float] = MIDDLE) -> str:
+    place = ", ".join(f"{a} * {SCALE}::DOUBLE + {m}::DOUBLE AS {a}" for a, m in zip("xyz", middle, strict=True))
+    xyz = ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS {a}" for k, a in enumerate("xyz"))
+    return f"""s AS (SELECT CAST(label AS VARCHAR) AS g, id, {place} FROM (
+  SELECT label, x, y, z, min(vec_id) AS id FROM (SELECT vec_id, label, {xyz} FROM embeddings) WHERE label IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL GROUP BY label, x, y, z))"""
+
+
 def points(spark: SparkSession, sf_dir: str, seeds: bool) -> DataFrame:
     """The first three components of the vectors; one in 16 is a seed, the others are points."""
     e = table(spark, sf_dir, "embeddings")
