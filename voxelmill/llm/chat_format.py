@@ -9,7 +9,7 @@ has, unless markers inside say that it holds several turns. Weights are counts
 over labelled texts, whose first line begins a turn. Lines are decoded by
 Viterbi, runs become turns, and each turn is rendered canonically.
 
-Long conversations are decoded in chunks of CHUNK turn numbers: each chunk is
+Long conversations are decoded in chunks of CHUNK rows: each chunk is
 first reduced to the best score from each state to each state, those small
 tables are chained on two levels, and then every chunk is decoded on its own
 between its known ends, so no conversation has to fit in one task.
@@ -25,11 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import group_index
 from ..session import cut
 
 CHUNK = 256
-#: A chunk of more rows repeats its turn numbers so often that they give no order.
-MOST_ROWS = 16 * CHUNK
 #: Speaker markers at the head of a line, and the role each stands for.
 MARKERS = {
     "system": r"<\|(?:im_start\|>)?system(?:\|>)?|\[system\]|#+ *system *:?|system *:|<<sys>>",
@@ -181,7 +180,7 @@ def viterbi(seen: np.ndarray, lengths: np.ndarray, step: np.ndarray, enter: np.n
     size = lengths[order]
     at = (np.cumsum(lengths) - lengths)[order]
     best = enter[order] + seen[at]
-    back = np.zeros(seen.shape, np.int8)
+    back = np.zeros(seen.shape, np.int16)  # states are two for each role, far below 2^15
     live = len(size)
     for k in range(1, int(size[0])):
         live = int(np.searchsorted(-size, -k, side="left"))
@@ -255,14 +254,14 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.n
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """rows (conv_id, turn, others) with chunk, and alone: whether the row has no
+    """rows (conv_id, turn, text) with chunk, a run of CHUNK rows of a
+    conversation in order of turn and text, and alone: whether the row has no
     place among others."""
-    names = rows.columns
-    rows = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(0)).cast("long"))
     has = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    sizes = rows.filter(has).groupBy("conv_id", "chunk").agg(F.count("*").alias("__n")).filter(F.col("__n") > MOST_ROWS)
-    rows = rows.join(sizes, ["conv_id", "chunk"], "left")
-    return rows.select(*names, "chunk", (~has | F.col("__n").isNotNull()).alias("alone"))
+    placed = group_index(rows.filter(has), "conv_id", [F.col("turn"), F.col("text")], "__n")
+    chunked = placed.withColumn("chunk", F.floor(F.col("__n") / CHUNK).cast("long")).drop("__n").withColumn("alone", F.lit(False))
+    single = rows.filter(~has).withColumns({"chunk": F.lit(0).cast("long"), "alone": F.lit(True)})
+    return cut(chunked.unionByName(single))
 
 
 def transcripts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
@@ -282,8 +281,8 @@ def recover_roles(turns: DataFrame, model: RoleModel, conv: str = "conv_id", tur
 
     The first line of a text always begins a turn. Texts that share a turn
     number stand by text. A text without conversation or turn number stands
-    alone, and so do all texts of a chunk (CHUNK turn numbers) of more than
-    MOST_ROWS rows. Null texts are empty; an empty text is one empty turn. A
+    alone. A conversation, of whatever length, is decoded as one, in chunks of
+    CHUNK rows. Null texts are empty; an empty text is one empty turn. A
     role column of turns is not read. An empty table gives no rows.
     """
     order = [F.col("conv_id").asc_nulls_first(), "chunk", "alone", F.col("turn").asc_nulls_first(), "text"]
