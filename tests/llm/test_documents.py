@@ -264,6 +264,22 @@ def test_pack_round_trip(spark, run):
     assert packing.pack(cases.empty(spark)).count() == 0
 
 
+def test_tails_are_cut_where_documents_end():
+    """What a task has left is one padded window, or windows of a power of two that end where a document or a sentence does."""
+    for sizes in ([2047], [1500], [700, 800], [4096, 30], [512, 100], [5000, 90]):
+        packer = packing.Packer(4096, 16.0, 64.0, 1 << 18)
+        rows = [r for k, n in enumerate(sizes) for r in packer.add(k, np.arange(n), np.zeros(0, np.int64))]
+        rows += packer.finish()
+        ends = set(np.cumsum(sizes).tolist()) | {4096}
+        total, filled = 0, {}
+        for _, _, ids, _, sequence, _ in rows:
+            filled[sequence] = filled.get(sequence, 0) + len(ids)
+        for n in filled.values():
+            total += n
+            assert total in ends
+        assert total == sum(sizes) and len(filled) <= len(sizes) + 1
+
+
 def test_padding_is_little(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
     sizes = packing.pack(docs).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()

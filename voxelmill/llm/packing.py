@@ -6,7 +6,8 @@ row of ids that is cut into windows of at most `window` tokens. Cuts between
 documents are free, cuts after a sentence cost `sentence_cut` padding tokens,
 and other cuts, used only where a sentence is longer than a window, `token_cut`.
 The best cuts are found for a run of windows at a time, in one pass over the
-boundaries with a monotone queue of the starts that can still win.
+boundaries with a monotone queue of the starts that can still win; the last run
+of a task ends where its documents do, and its last window is padded.
 """
 
 from __future__ import annotations
@@ -243,13 +244,6 @@ class Packer:
         ends = at[best_cuts(at, cost, self.window)].tolist()
         if not last:
             ends = ends[: max(1, len(ends) - 2)]  # what comes next may move the last cuts
-        elif (tail := ends[-1] - (ends[-2] if len(ends) > 1 else 0)).bit_count() * self.token_cut < self.window - tail:
-            # cheaper than padding the last window: one window for each power of two in it
-            first, ends = ends[-1] - tail, ends[:-1]
-            for k in reversed(range(tail.bit_length())):
-                if tail >> k & 1:
-                    first += 1 << k
-                    ends.append(first)
         begin = 0
         for end in ends:
             room, offset = end - begin, 0
