@@ -329,7 +329,7 @@ def learn(
     docs: DataFrame, per_language: int = 250, languages: int = 2000, sample_chars: int = 12_000_000, text: str = "text", id: str = "doc_id", lang: str = "lang"
 ) -> Model:
     """Fit on about per_language documents of each language, picked by a hash of
-    the id among those with a language that aren't held out.
+    id and text among those with a language that aren't held out.
 
     Documented bounds of the sample: at most twice per_language documents of each
     language and sample_chars code points in all, of a longer text a part from a
@@ -343,11 +343,13 @@ def learn(
     if not counts:
         return Model([], np.zeros((len(ORDERS) + 1, (1 << TABLE_BITS) + 1, 0), np.float32), np.zeros((0, 0)))
     longest = sample_chars // (2 * per_language * len(counts))
-    spot = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
+    # rows that repeat an id differ in their texts; equal rows are alike
+    drawn = F.xxhash64("i", "t")
+    spot = F.pmod(drawn, F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n))]), F.col("l"))
     over = F.greatest(F.length("t") - longest, F.lit(0)) + 1
     part = F.substring("t", (F.pmod(F.xxhash64("i", F.lit(1)), over.cast("long")) + 1).cast("int"), F.lit(longest))
-    picked = rows.filter(spot < share).limit(2 * per_language * len(counts)).select("i", part.alias("t"), "l").collect()
+    picked = rows.filter(spot < share).select("i", part.alias("t"), "l", drawn.alias("h")).orderBy("h", "l").limit(2 * per_language * len(counts)).collect()
     picked = sorted(picked, key=lambda r: (r["l"], str(r["i"]), r["t"]))
     return fit([r["t"] for r in picked], [r["l"] for r in picked])
 
