@@ -52,3 +52,24 @@ def test_edited_copies_go(spark):
         rows += [(k, " ".join(base), "en", "a", 1), (100 + k, " ".join(edited), "en", "a", 1)]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, NAMES).repartition(3), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
+
+
+def test_rare_pairs_keep_all_that_are_alike(spark):
+    """Sets that share a large common part: pairs by their rarest shingles hold every pair that is alike, and far from all pairs."""
+    rng = np.random.default_rng(4)
+    common = list(range(40))
+    sets = []
+    for k in range(300):
+        if k % 3 == 0:
+            own = [int(x) for x in rng.integers(1000, 1 << 40, 60)]
+        elif k % 3 == 1:  # as the one before, but for a few
+            own = sets[-1][40:-3] + [int(x) for x in rng.integers(1000, 1 << 40, 3)]
+        else:
+            own = []
+        sets.append(common + own)
+    nodes = spark.createDataFrame([(k, len(s), k) for k, s in enumerate(sets)], "node long, n long, component long")
+    grams = spark.createDataFrame(list(enumerate(sets)), "node long, grams array<long>")
+    got = {(r.u, r.v) for r in near_dedup.rare_pairs(nodes, grams, 0.8).distinct().collect()}
+    held = [set(s) for s in sets]
+    alike = {(a, b) for a in range(300) for b in range(a + 1, 300) if len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])}
+    assert alike <= got and len(alike) > 100 and len(got) < 12_000

@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -106,6 +106,25 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
     return same.union(far)
 
 
+def rare_pairs(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of nodes (node, n, component) of different components whose
+    sets may be `least` alike: such sets share one of the first (1 - least) n + 1
+    shingles of each, the nodes' rarest first. No pair that is alike is left out,
+    and shingles that very many nodes share are used by those alone that have
+    hardly others."""
+    grams = cut(nodes.join(sets, "node").select("node", "n", "component", F.explode("grams").alias("gram")))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often")).filter("often > 1")
+    # a shingle of one node makes no pair, but takes a place among its first ones
+    known = grams.join(often, "gram", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "gram"))
+    most = F.floor(F.lit(1 - least + 1e-9) * F.col("n")) + 1
+    rare = cut(known.withColumn("nth", nth).filter((F.col("nth") <= most) & (F.col("often") > 1)).select("node", "n", "component", "gram"))
+    left = rare.select("gram", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
+    right = rare.select("gram", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
+    alike = F.least("nu", "nv") >= F.lit(least) * F.greatest("nu", "nv") - 1e-9
+    return left.join(right, "gram").filter("u < v AND cu <> cv").filter(alike).select("u", "v")
+
+
 def link_sets(nodes: DataFrame, sets_of, least: float = 0.8, crowd: int = 64, rounds: int = 4) -> DataFrame:
     """(node, component) of the nodes (node, n, fp, keys) that have a near copy.
     sets_of(some): (node, grams) of the nodes of some (node)."""
@@ -127,9 +146,7 @@ def link_sets(nodes: DataFrame, sets_of, least: float = 0.8, crowd: int = 64, ro
         crowded = now.filter(F.col("c") > crowd)
         last = turn == rounds or crowded.isEmpty()
         if last:
-            left = now.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-            right = now.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-            some = left.join(right, "key").filter("u < v AND cu <> cv").filter(sized(F.col("nu"), F.col("nv"))).select("u", "v")
+            some = rare_pairs(now.select("node", "n", "component").distinct(), sets, least)
         else:
             rank = F.xxhash64("key", "node", F.lit(turn))
             lead = crowded.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), rank).alias("l"))
