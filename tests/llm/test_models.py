@@ -142,6 +142,29 @@ def test_embedding_labels_of_any_type_and_copies(spark, label):
     assert all(got[k] == (0, k) for k in [*range(1, 40), 400, 401])
 
 
+def test_embedding_of_mixed_lengths_and_repeated_ids(spark):
+    """Every length is compared with itself, and rows of one id are rows of their own: all equal brute force."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for d in (3, 8, 16):
+        base = rng.normal(size=(12, d))
+        for k in range(60):
+            rows.append((int(rng.integers(0, 90)), (base[k % 12] + 0.02 * rng.normal(size=d)).tolist() if k % 3 else base[k % 12].tolist(), int(k % 2)))
+    rows += [(5, [1.0, 2.0], 1), (7, [1.0, 2.0], 1), (5, [-1.0, 2.0], 1), (5, [1.0, 2.01], 1), (91, [0.0, 0.0], 1), (92, [4.0] * 5, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    unit = [np.array(v) / max(np.linalg.norm(v), 1e-300) for _, v, _ in rows]
+    near = lambda a, b: a != b and rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]) and unit[a] @ unit[b] >= 0.93
+    links = [sum(near(a, b) for b in range(len(rows))) for a in range(len(rows))]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min([root[a], *[root[b] for b in range(len(rows)) if near(a, b)]]) for a in range(len(rows))]
+    least = {}
+    for a, r in enumerate(root):
+        least[r] = min(least.get(r, 1 << 60), rows[a][0])
+    want = sorted((rows[a][0], links[a], least[root[a]], least[root[a]] == rows[a][0]) for a in range(len(rows)))
+    assert sorted(map(tuple, embedding_dedup.embedding_components(df).collect())) == want
+
+
 def test_embedding_of_one_component(spark):
     rows = [(1, [2.0], 1), (2, [3.0], 1), (3, [-1.0], 1), (4, [0.0], 1), (5, None, 1), (6, [1.0], 2)]
     got = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
@@ -229,11 +252,33 @@ def test_raw_transcripts_are_cut_into_turns(spark):
 
 
 def test_roles_of_a_hot_turn_number(spark, monkeypatch):
-    monkeypatch.setattr(chat_format, "MOST_ROWS", 10)
+    """Very many rows of one turn number are decoded with their neighbours, whatever the chunks are."""
     model = chat_format.RoleModel.learn(spark.createDataFrame(turns(600), TURNS))
-    some = [(1, 0, f"User: what {k}?") for k in range(40)] + [(2, 0, "User: what?"), (2, 1, "It is a thing.\nIt is a thing.")]
-    got = chat_format.recover_roles(spark.createDataFrame(some, "conv_id long, turn long, text string").repartition(3), model).collect()
-    assert len(got) == 42 and all(r["role"] == "user" for r in got if r["conv_id"] == 1)
+    rng = random.Random(11)
+    some = [(1, 0, f"{rng.choice(['what', 'It is.', 'You help.'])} {k}") for k in range(60)] + [(1, 1, "what?"), (2, 0, "User: what?"), (2, 1, "It is a thing.\nIt is a thing.")]
+    df = spark.createDataFrame(some, "conv_id long, turn long, text string").repartition(3)
+    key = lambda r: (r["conv_id"], r["turn"], r["text"], r["role"])
+    whole = sorted(map(key, chat_format.recover_roles(df, model).collect()))
+    monkeypatch.setattr(chat_format, "CHUNK", 8)
+    assert sorted(map(key, chat_format.recover_roles(df, model).collect())) == whole and len(whole) == 63
+
+
+def test_viterbi_with_as_many_states_as_roles_allow():
+    """136 states (64 roles and those that have markers, each begun or gone on with)."""
+    rng = np.random.default_rng(8)
+    states = 136
+    for _ in range(20):
+        seen, step, enter, leave = rng.normal(size=(9, states)), rng.normal(size=(states, states)), rng.normal(size=states), rng.normal(size=states)
+        got = chat_format.viterbi(seen, np.array([9]), step, enter[None], leave[None])
+        best, back = enter + seen[0], []
+        for s in seen[1:]:
+            ways = best[:, None] + step
+            back.append(ways.argmax(0))
+            best = ways.max(0) + s
+        path = [int((best + leave).argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        assert got.tolist() == path[::-1]
 
 
 def test_system_turns_held_out(spark):

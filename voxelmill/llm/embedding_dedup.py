@@ -120,38 +120,43 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def find_links(vectors: DataFrame, index: MultiIndex, least_cosine: float) -> DataFrame:
-    """vectors (row, label, copies, v: array) to rows (row, linked, root): linked
-    counts new links of `row` in one pair of blocks, each as often as the other
-    side has copies; (row, root) edges join the same rows as the links do."""
-    width = len(index.books[1])
+def find_links(vectors: DataFrame, indexes: dict[int, MultiIndex], least_cosine: float) -> DataFrame:
+    """vectors (row, label, d: length, copies, v: array) to rows (row, linked,
+    root): linked counts new links of `row` in one pair of blocks, each as often
+    as the other side has copies; (row, root) edges join the same rows as the
+    links do. row is unique. indexes: by length; only vectors of one label and
+    length meet."""
     kind, label = (vectors.schema[c].dataType.simpleString() for c in ("v", "label"))
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.iloc[at : at + 2048]
-                v = unit(_stack(part["v"]))
-                cells = index.cells(v)
-                yield part.assign(cell=cells[:, 0] * width + cells[:, 1], visits=index.visits(v))
-
-    filed = cut(vectors.mapInPandas(file, f"row long, label {label}, copies long, v {kind}, cell long, visits array<long>"))
-    home = filed.groupBy("label", "cell").agg(F.count("*").alias("n_home"))
-    asked = filed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("n_asked"))
+            for d, own in batch.groupby("d"):
+                index = indexes[int(d)]
+                width = len(index.books[1])
+                for at in range(0, len(own), 2048):
+                    part = own.iloc[at : at + 2048]
+                    v = unit(_stack(part["v"]))
+                    cells = index.cells(v)
+                    yield part.assign(cell=cells[:, 0] * width + cells[:, 1], visits=index.visits(v))
+
+    group = ["label", "d", "cell"]
+    filed = cut(vectors.mapInPandas(file, f"row long, label {label}, d int, copies long, v {kind}, cell long, visits array<long>"))
+    home = filed.groupBy(*group).agg(F.count("*").alias("n_home"))
+    asked = filed.select("label", "d", F.explode("visits").alias("cell")).groupBy(*group).agg(F.count("*").alias("n_asked"))
     parts = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
-    sizes = cut(home.join(asked, ["label", "cell"]).select("label", "cell", parts("n_home").alias("hs"), parts("n_asked").alias("as")))
+    sizes = cut(home.join(asked, group).select(*group, parts("n_home").alias("hs"), parts("n_asked").alias("as")))
     spot = lambda salt, n: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = filed.select("row", "label", "copies", "v", F.explode("visits").alias("cell")).join(sizes, ["label", "cell"])
-    left = left.withColumn("a", spot(1, "as")).withColumn("h", span("hs")).select("label", "cell", "a", "h", "row", "copies", "v")
-    right = filed.select("row", "label", "copies", "v", "cell").join(sizes, ["label", "cell"])
-    right = right.withColumn("h", spot(2, "hs")).withColumn("a", span("as")).select(*[F.col(c).alias(c) for c in ("label", "cell", "a", "h", "row", "copies", "v")])
-    stop = index.stop
+    left = filed.select("row", "label", "d", "copies", "v", F.explode("visits").alias("cell")).join(sizes, group)
+    left = left.withColumn("a", spot(1, "as")).withColumn("h", span("hs")).select(*group, "a", "h", "row", "copies", "v")
+    right = filed.select("row", "label", "d", "copies", "v", "cell").join(sizes, group)
+    right = right.withColumn("h", spot(2, "hs")).withColumn("a", span("as")).select(*[F.col(c).alias(c) for c in (*group, "a", "h", "row", "copies", "v")])
 
     def compare(asks: pd.DataFrame, homes: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"row": [], "linked": [], "root": []}, dtype="int64")
         if not len(asks) or not len(homes):
             return empty
+        index = indexes[int(asks["d"].iloc[0])]
         x, y = unit(_stack(asks["v"])), unit(_stack(homes["v"]))
         rx, ry = asks["row"].to_numpy(), homes["row"].to_numpy()
         near = (x @ y.T >= least_cosine) & (rx[:, None] != ry)
@@ -163,7 +168,7 @@ def find_links(vectors: DataFrame, index: MultiIndex, least_cosine: float) -> Da
         ya, yb = index.costs(y[keep])
         cx = index.cells(x)
         jj = np.searchsorted(keep, j)
-        alone = ya[jj, cx[i, 0]] + yb[jj, cx[i, 1]] > stop
+        alone = ya[jj, cx[i, 0]] + yb[jj, cx[i, 1]] > index.stop
         rows = np.concatenate([rx, ry])
         # counts are whole numbers far below 2^53, so sums in doubles are exact
         of_x = np.bincount(i, homes["copies"].to_numpy(np.float64)[j], len(rx))
@@ -173,7 +178,7 @@ def find_links(vectors: DataFrame, index: MultiIndex, least_cosine: float) -> Da
         used = (counts > 0) | (root != rows)
         return pd.DataFrame({"row": rows[used], "linked": counts[used], "root": root[used]})
 
-    keys = ["label", "cell", "a", "h"]
+    keys = [*group, "a", "h"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "row long, linked long, root long")
 
 
@@ -201,47 +206,52 @@ def embedding_components(
     """One row for each row of vectors: vec_id, n_links, component_id, kept.
 
     Only vectors with equal labels (of any type) that are not null are compared.
-    Vectors that are null, zero, of another length than most, or hold null or
-    non-finite components link with nothing. n_links counts other vectors within
+    Vectors that are null, zero, or hold null or non-finite components link with
+    nothing; vectors are compared with those of their own length only. n_links counts other vectors within
     the cosine; component_id is the smallest id reachable. Links found are
     exact; `recall` of those at the very threshold are expected to be found,
     more of the closer ones. Vectors that are equal component by component (by
     128 bits of hashes) are compared as one and count as often as they come. The
-    codebooks are fitted on a sample of at most sample_rows vectors and grow with
-    the square root of the largest label; every vector is filed and asked for.
-    Rows that repeat an id are linked as rows of their own and share the id's
-    component. Empty tables give no rows. Other columns aren't read.
+    codebooks of all lengths are fitted on a sample of about sample_rows vectors,
+    and one more for each length, and grow with the square root of the largest
+    label; every vector is filed and asked for. Rows that repeat an id are linked
+    as rows of their own. A null id links with nothing. Empty tables give no rows. Other columns aren't read.
     """
     # vectors travel as they are stored; each comparison scales them in double precision
     v = F.col(embedding) if vectors.schema[embedding].dataType.simpleString() == "array<float>" else F.col(embedding).cast("array<double>")
     base = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(label).alias("label"), v.alias("v"))
-    sized = base.groupBy(F.size("v").alias("d")).count().filter("d > 0").orderBy(F.desc("count"), "d").first()
-    dims = sized["d"] if sized else 0
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = (F.size("v") == dims) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)
+    usable = F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)
     usable = usable & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     hashes = [F.when(usable, F.xxhash64(F.lit(k), "label", "v")).alias(f"h{k}") for k in (1, 2)]
     base = base.select("vec_id", "label", "v", *hashes)
 
     copies = base.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(
-        F.min("vec_id").alias("row"), F.first("label").alias("label"), F.count("*").alias("copies"), F.first("v").alias("v")
+        F.min("vec_id").alias("least_id"), F.first("label").alias("label"), F.count("*").alias("copies"), F.first("v").alias("v")
     )
-    nodes = cut(copies)
-    count = nodes.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
-    if not count[0]:
+    # a number for each different vector, fixed by what is written
+    nodes = cut(copies.withColumns({"row": F.monotonically_increasing_id(), "d": F.size("v")}))
+    sizes = nodes.groupBy("d", "label").count().groupBy("d").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()
+    if not sizes:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    picked = nodes.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.3 * sample_rows / count[0]))).limit(sample_rows)
-    sample = [r.v for r in picked.select("v").collect()] or [r.v for r in nodes.select("v").limit(sample_rows).collect()]
-    sample = unit(np.array(sample, dtype=np.float64))
-    words = max(2, int(np.sqrt(count[1] / CELL_ROWS)))
-    index = MultiIndex(sample, words, least_cosine, recall, seed)
-    found = cut(find_links(nodes.select("row", "label", "copies", "v"), index, least_cosine).groupBy("row", "root").agg(F.sum("linked").alias("linked")))
+    share = F.lit(1.3 * sample_rows / len(sizes) * (1 << 20)) / F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r.d, r.n)]), F.col("d"))
+    picked = nodes.filter(F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 20)) < share).select("d", "v")
+    one = nodes.groupBy("d").agg(F.min_by("v", "h1").alias("v"))
+    samples: dict[int, list] = {}
+    for r in picked.union(one).collect():
+        samples.setdefault(r.d, []).append(r.v)
+    words = {r.d: max(2, int(np.sqrt(r.most / CELL_ROWS))) for r in sizes}
+    indexes = {d: MultiIndex(unit(np.array(v, dtype=np.float64)), words[d], least_cosine, recall, seed) for d, v in samples.items()}
+    links = find_links(nodes.select("row", "label", "d", "copies", "v"), indexes, least_cosine)
+    found = cut(links.groupBy("row", "root").agg(F.sum("linked").alias("linked")))
     edges = found.filter("row <> root").select(F.col("row").alias("u"), F.col("root").alias("v"))
     parts = connected_components(edges)
     counts = found.groupBy("row").agg(F.sum("linked").alias("linked"))
-    named = nodes.select("h1", "h2", "row", "copies").join(counts, "row", "left").join(parts, F.col("row") == parts["node"], "left")
+    named = nodes.select("h1", "h2", "row", "copies", "least_id").join(counts, "row", "left").join(parts, F.col("row") == parts["node"], "left")
     links = F.coalesce("linked", F.lit(0)) + F.col("copies") - 1
-    named = cut(named.select("h1", "h2", links.alias("links"), F.coalesce("component", "row").alias("component")))
+    named = cut(named.select("h1", "h2", "least_id", links.alias("links"), F.coalesce("component", "row").alias("part")))
+    first = named.groupBy("part").agg(F.min("least_id").alias("component"))
+    named = named.join(first, "part").select("h1", "h2", "links", "component")
     component = F.coalesce("component", "vec_id")
     return base.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left").select(
         "vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept")
