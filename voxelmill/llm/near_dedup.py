@@ -112,7 +112,7 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     shingles of each, the nodes' rarest first. No pair that is alike is left out,
     and shingles that very many nodes share are used by those alone that have
     hardly others."""
-    grams = cut(nodes.join(sets, "node").select("node", "n", "component", F.explode("grams").alias("gram")))
+    grams = nodes.join(sets, "node").select("node", "n", "component", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("often")).filter("often > 1")
     # a shingle of one node makes no pair, but takes a place among its first ones
     known = grams.join(often, "gram", "left").withColumn("often", F.coalesce("often", F.lit(1)))
@@ -146,7 +146,12 @@ def link_sets(nodes: DataFrame, sets_of, least: float = 0.8, crowd: int = 64, ro
         crowded = now.filter(F.col("c") > crowd)
         last = turn == rounds or crowded.isEmpty()
         if last:
-            some = rare_pairs(now.select("node", "n", "component").distinct(), sets, least)
+            few = now.filter(F.col("c") <= crowd)
+            left = few.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
+            right = few.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
+            some = left.join(right, "key").filter("u < v AND cu <> cv").filter(sized(F.col("nu"), F.col("nv"))).select("u", "v")
+            if not crowded.isEmpty():
+                some = some.union(rare_pairs(crowded.select("node", "n", "component").distinct(), sets, least))
         else:
             rank = F.xxhash64("key", "node", F.lit(turn))
             lead = crowded.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), rank).alias("l"))
