@@ -4,6 +4,12 @@ from pyspark.sql import functions as F
 
 from voxelmill.operators import diagram, neighbours
 
+@pytest.fixture(autouse=True)
+def rounds(monkeypatch):
+    """Small groups too are met cube by cube here."""
+    monkeypatch.setattr(diagram, "WHOLE", 10)
+
+
 BOX = ((-1.0, -1.0, -1.0), (1.0, 1.0, 1.0))
 
 
@@ -70,6 +76,13 @@ def test_groups_ties_and_small_groups(spark):
     assert of("alone") == [] and of("two") == [(1, 2), (2, 1)] and of("same") == [(1, 3), (2, 3), (3, 1), (3, 2)]
 
 
+def test_whole_groups_equal_rounds(spark, monkeypatch):
+    points = np.random.default_rng(6).uniform(-1, 1, (60, 3))
+    in_rounds = graph(spark, points)
+    monkeypatch.setattr(diagram, "WHOLE", 512)
+    assert graph(spark, points) == in_rounds == brute(points)
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "g int, seed_id long, x double, y double, z double")
     assert diagram.neighbour_graph(empty, "g", BOX).count() == 0

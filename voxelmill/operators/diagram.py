@@ -28,6 +28,8 @@ Box = tuple[tuple[float, float, float], tuple[float, float, float]]
 #: A plane that comes as close to a cell, measured in the box's diagonal, touches it.
 TOUCH = 1e-9
 MOST_A_CUBE = 32
+#: Groups of so many seeds, fewer than 27 cubes may hold, are met whole in the first round.
+WHOLE = 512
 
 
 class Cell:
@@ -109,21 +111,23 @@ def _cubes(edge: Column) -> list[Column]:
 
 def start_edges(placed: DataFrame, most: int = MOST_A_CUBE) -> DataFrame:
     """(g, edge, wide): an edge for each group so that no cube holds more than
-    `most` seeds, and one that spans the group."""
+    `most` seeds, but for groups of at most WHOLE, and one that spans the group."""
     ends = [f(a).alias(f"{n}{a}") for a in AXES for n, f in (("l", F.min), ("h", F.max))]
     sizes = placed.groupBy("g").agg(F.count("*").alias("n"), *ends)
     sides = [F.col(f"h{a}") - F.col(f"l{a}") for a in AXES]
     wide = F.greatest(*sides, F.lit(1e-9))
     volume = F.greatest(sides[0], wide * 1e-3) * F.greatest(sides[1], wide * 1e-3) * F.greatest(sides[2], wide * 1e-3)
-    edges = cut(sizes.select("g", F.pow(volume * (most / 4) / F.col("n"), F.lit(1 / 3)).alias("edge"), wide.alias("wide"), F.lit(False).alias("ok")))
+    small = F.col("n") <= WHOLE
+    edge = F.when(small, 2 * wide).otherwise(F.pow(volume * (most / 4) / F.col("n"), F.lit(1 / 3)))
+    edges = cut(sizes.select("g", edge.alias("edge"), wide.alias("wide"), small.alias("ok")))
     for _ in range(200):
+        if edges.filter("NOT ok").isEmpty():
+            break
         fullest = placed.join(edges.filter("NOT ok"), "g").groupBy("g", *_cubes(F.col("edge"))).count().groupBy("g").agg(F.max("count").alias("top"))
         new = edges.join(fullest, "g", "left").withColumn("fits", F.coalesce(F.col("top") <= most, F.lit(True)))
         # an edge far below the group's size can't part seeds any more: they are at one place but for rounding
         small = F.col("edge") <= F.col("wide") * 1e-12
-        edges = cut(new.select("g", F.when(F.col("fits") | small, F.col("edge")).otherwise(F.col("edge") / 2).alias("edge"), "wide", (F.col("fits") | small).alias("ok")))
-        if edges.filter("NOT ok").isEmpty():
-            break
+        edges = cut(new.select("g", F.when(F.col("ok") | F.col("fits") | small, F.col("edge")).otherwise(F.col("edge") / 2).alias("edge"), "wide", (F.col("ok") | F.col("fits") | small).alias("ok")))
     return edges.select("g", "edge", "wide")
 
 
@@ -147,7 +151,7 @@ def neighbour_graph(seeds: DataFrame, group: str, box: Box, max_rounds: int = 64
     Every pair comes in both directions. Seeds at the place of another one of
     their group are no neighbours of it and have the same neighbours; a seed
     alone has none; a seed outside the box is an error. Null groups are a group. A task
-    holds the seeds of 27 cubes: at most 27 x MOST_A_CUBE at first, later those
+    holds the seeds of 27 cubes: at most 27 x MOST_A_CUBE (or WHOLE) at first, later those
     that aren't certain yet. Choose a box that fits the seeds: cells at the rim
     reach to the box.
     """

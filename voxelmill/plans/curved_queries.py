@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import curved, diagram, shells
+from ..operators import curved, diagram, seams, shells
 from ..session import cut
 from .tables import VOXELS, label_seeds, label_seeds_sql, voxels
 
@@ -197,6 +197,87 @@ def curved_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curved.cell_documents(verts, found, curved.loops(found, CELL), CELL)
 
 
+_MEMBERS = "list_sort([CAST(seed_id AS VARCHAR), regexp_replace(a, '^bisector:', ''), regexp_replace(b, '^bisector:', '')])"
+_ROUND = lambda p: "{" + ", ".join(f"'{a}': CAST(round_even({p.format(a)} * 1e5, 0) AS BIGINT)" for a in "xyz") + "}"
+
+
+@query(
+    f"""{_CURVED}, sig AS (SELECT g, seed_id, {_MEMBERS} AS members, {_ROUND('{0}')} AS p, {_ROUND('e.{0}')} AS q FROM edge),
+reg AS (SELECT g, members, least(p, q) AS lo, greatest(p, q) AS hi, count(DISTINCT seed_id) AS n_cells, count(*) AS n_edges FROM sig GROUP BY ALL)
+SELECT g, array_to_string(members, ',') AS members, count(*) AS n_seams, CAST(sum(n_edges) AS BIGINT) AS n_edges, CAST(max(n_cells) AS BIGINT) AS n_cells FROM reg GROUP BY g, members"""
+)
+def seam_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seams of each diagram by the seeds and surfaces that meet in them."""
+    found = _brep(spark, sf_dir)[1]
+    reg = seams.registry(seams.signatures(found, CELL, "seed_id"), CELL, "seed_id")
+    by_ends = reg.groupBy("g", "members", "lo", "hi").agg(F.sum("n_cells").alias("n_edges"))
+    # each cell has an edge between two ends at most once, but for the two halves of a circle
+    cells = reg.groupBy("g", "members", "lo", "hi").agg(F.max("n_cells").alias("n_cells"))
+    met = by_ends.join(cells, ["g", "members", "lo", "hi"])
+    return met.groupBy("g", F.array_join("members", ",").alias("members")).agg(F.count("*").alias("n_seams"), F.sum("n_edges").alias("n_edges"), F.max("n_cells").alias("n_cells"))
+
+
+def _rims(found: DataFrame) -> DataFrame:
+    """The edges between a cylinder and a cap."""
+    return found.filter(F.col("a").isin(*curved.SHELL) & F.col("b").isin(*curved.SHELL)).filter(F.col("a").endswith("_cylinder") != F.col("b").endswith("_cylinder"))
+
+
+_STRIP = f"""{_CURVED}, k AS (SELECT *, k / 8.0::DOUBLE AS sh FROM edge, (SELECT unnest(range(9)) AS k)),
+kt AS (SELECT *, kind IN ('circle_arc', 'cylinder_plane_curve') AS closed, atan2(y - oy, x - ox) AS t0, atan2(e.y - oy, e.x - ox) AS t1 FROM k),
+ku AS (SELECT *, t0 + sh * CASE WHEN vertex = -1 THEN 2 * pi() ELSE t1 - t0 - 2 * pi() * floor((t1 - t0) / (2 * pi())) END AS tt FROM kt),
+kq AS (SELECT *, CASE WHEN closed THEN ox + rad * cos(tt) ELSE x + sh * (e.x - x) END AS qx, CASE WHEN closed THEN oy + rad * sin(tt) ELSE y + sh * (e.y - y) END AS qy FROM ku),
+kp AS (SELECT g, seed_id, a, b, vertex, e.v AS v, k, qx AS x, qy AS y, CASE WHEN closed THEN (prhs - pnx * qx - pny * qy) / pnz ELSE z + sh * (e.z - z) END AS z FROM kq),
+md2 AS (SELECT g, seed_id, support, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM (SELECT *, unnest([a, b]) AS support FROM kp) GROUP BY g, seed_id, support),
+tg AS (SELECT *, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS tx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS ty, coalesce(lead(z) OVER w, z) - coalesce(lag(z) OVER w, z) AS tz
+  FROM kp WHERE (ends_with(a, '_cylinder') AND ends_with(b, '_cap')) OR (ends_with(b, '_cylinder') AND ends_with(a, '_cap')) WINDOW w AS (PARTITION BY g, seed_id, a, b, vertex, v ORDER BY k)),
+fc AS (SELECT *, unnest([a, b]) AS support FROM tg),
+nr AS (SELECT fc.*, mx, my, mz, CASE WHEN ends_with(support, '_cylinder') THEN (x - 0.5) / sqrt(pow(x - 0.5, 2) + pow(y + 0.5, 2)) ELSE 0 END AS nx,
+  CASE WHEN ends_with(support, '_cylinder') THEN (y + 0.5) / sqrt(pow(x - 0.5, 2) + pow(y + 0.5, 2)) ELSE 0 END AS ny, CASE support WHEN 'top_cap' THEN 1 WHEN 'bottom_cap' THEN -1 ELSE 0 END AS nz FROM fc JOIN md2 USING (g, seed_id, support)),
+cr AS (SELECT *, ny * tz - nz * ty AS cx, nz * tx - nx * tz AS cy, nx * ty - ny * tx AS cz FROM nr),
+un AS (SELECT *, CASE WHEN cx * (mx - x) + cy * (my - y) + cz * (mz - z) >= 0 THEN 1 ELSE -1 END / sqrt(cx*cx + cy*cy + cz*cz) AS f FROM cr)"""
+
+
+@query(
+    f"""{_STRIP} SELECT g, seed_id, support, count(*) AS n, round(avg(x + 0.18 * f * cx), 4) + 0.0 AS x, round(avg(y + 0.18 * f * cy), 4) + 0.0 AS y, round(avg(z + 0.18 * f * cz), 4) + 0.0 AS z
+FROM un GROUP BY g, seed_id, support"""
+)
+def seam_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the lines of a cell's rims lie on average, moved into each face that meets in them."""
+    supports, found, points = _seamed(spark, sf_dir)
+    rims = _rims(found)
+    moved = seams.offsets(points.join(rims.select(*CELL, "edge"), [*CELL, "edge"], "left_semi"), rims, supports, seams.face_middles(points, found, CELL), CELL)
+    return moved.groupBy(*CELL, "support").agg(F.count("*").alias("n"), *[_R(F.avg(a)).alias(a) for a in "xyz"])
+
+
+@query(
+    f"""{_STRIP}, hf AS (SELECT g, seed_id, a, b, vertex, v, support, k, x + 0.18 * f * cx AS x, y + 0.18 * f * cy AS y, z + 0.18 * f * cz AS z FROM un),
+qd AS (SELECT l.g, l.seed_id, l.x AS ax, l.y AS ay, l.z AS az, r.x AS bx, r.y AS by_, r.z AS bz, lead(l.x) OVER w AS ax1, lead(l.y) OVER w AS ay1, lead(l.z) OVER w AS az1, lead(r.x) OVER w AS bx1, lead(r.y) OVER w AS by1, lead(r.z) OVER w AS bz1
+  FROM hf l JOIN hf r USING (g, seed_id, a, b, vertex, v, k) WHERE l.support = l.a AND r.support = r.b WINDOW w AS (PARTITION BY l.g, l.seed_id, l.a, l.b, l.vertex, l.v ORDER BY l.k)),
+tr AS (SELECT g, seed_id, bx - ax AS ux, by_ - ay AS uy, bz - az AS uz, bx1 - ax AS vx, by1 - ay AS vy, bz1 - az AS vz FROM qd WHERE ax1 IS NOT NULL
+  UNION ALL SELECT g, seed_id, bx1 - ax, by1 - ay, bz1 - az, ax1 - ax, ay1 - ay, az1 - az FROM qd WHERE ax1 IS NOT NULL)
+SELECT g, seed_id, count(*) AS n_triangles, round(sum(sqrt(pow(uy*vz - uz*vy, 2) + pow(uz*vx - ux*vz, 2) + pow(ux*vy - uy*vx, 2))) / 2, 3) AS area FROM tr GROUP BY g, seed_id"""
+)
+def seam_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles and area of the strips along each cell's rims."""
+    supports, found, points = _seamed(spark, sf_dir)
+    rims = _rims(found)
+    moved = seams.offsets(points.join(rims.select(*CELL, "edge"), [*CELL, "edge"], "left_semi"), rims, supports, seams.face_middles(points, found, CELL), CELL)
+    t = seams.strips(moved, rims, CELL)
+    d = lambda p, a: F.col(f"{p}{a}") - F.col(f"a{a}")
+    cross = [d("b", u) * d("c", v) - d("b", v) * d("c", u) for u, v in (("y", "z"), ("z", "x"), ("x", "y"))]
+    size = F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]) / 2
+    return t.groupBy(*CELL).agg(F.count("*").alias("n_triangles"), F.round(F.sum(size), 3).alias("area"))
+
+
+def _seamed(spark: SparkSession, sf_dir: str, samples: int = 9) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Supports, edges, and the edges' points, which are one line for all cells that share it."""
+    supports = _supports(spark, sf_dir)
+    found = cut(curved.edges(cut(curved.vertices(supports, CELL)), supports, CELL))
+    own = cut(curved.sample_edges(found, samples).select(*CELL, "edge", "k", "x", "y", "z"))
+    signed = cut(seams.signatures(found, CELL, "seed_id"))
+    return supports, found, cut(seams.seam_points(own, signed, seams.registry(signed, CELL, "seed_id"), CELL, "seed_id", samples))
+
+
 def _triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     supports = _supports(spark, sf_dir)
     verts = cut(curved.vertices(supports, CELL))
