@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bands, density, grid, neighbours, sampling
-from ..operators.prefix import running_sum
+from ..operators.prefix import dense_index, running_sum
 from .tables import KEYED, NX, NY, NZ, POINTS, SEGMENTS, VOXELS, keyed_voxels, points, segments, table, voxels
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -342,3 +342,10 @@ def label_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     # as many as there are labels
     listed = F.array_sort(F.collect_set("other"))
     return both.groupBy("label").agg(F.count("*").alias("degree"), F.array_join(F.transform(listed, lambda v: v.cast("string")), ",").alias("neighbours"))
+
+
+@query()
+def uniform_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point of the unit cube for each supplier, in order of its key, from the one seeded stream."""
+    placed = dense_index(table(spark, sf_dir, "supplier").select("s_suppkey"), [F.col("s_suppkey")], "n")
+    return sampling.uniform_stream(placed, "n", 42).drop("n")
