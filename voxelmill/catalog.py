@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import contour_queries, curved_queries, deck_queries, field_queries, mechanics_queries, solid_queries, state_queries, structure_queries, surface_queries
+from .plans import contour_queries, curved_queries, deck_queries, face_queries, field_queries, json_queries, mechanics_queries, solid_queries, state_queries, structure_queries, surface_queries
 
-MODULES = (contour_queries, field_queries, structure_queries, mechanics_queries, solid_queries, surface_queries, curved_queries, deck_queries, state_queries)
+MODULES = (contour_queries, field_queries, structure_queries, mechanics_queries, solid_queries, surface_queries, curved_queries, deck_queries, state_queries, face_queries, json_queries)
 FLAGSHIP = "density_cells"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import deck_parsing, neighbours, states
-from .tables import SUPPLIER_SEEDS, VOXELS, supplier_seeds, table, voxels
+from .tables import SEGMENTS, SUPPLIER_SEEDS, VOXELS, segments, supplier_seeds, table, voxels
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -136,18 +136,17 @@ def initial_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SUPPLIER_SEEDS}, h AS (SELECT a.g, a.id AS i, b.id AS j, b.x - a.x AS nx, b.y - a.y AS ny, b.z - a.z AS nz, (b.x*b.x + b.y*b.y + b.z*b.z - a.x*a.x - a.y*a.y - a.z*a.z) / 2 AS rhs FROM s a JOIN s b ON a.g = b.g AND a.id < b.id),
-u AS (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) AS n, CASE WHEN abs(nx) > 1e-12 THEN sign(nx) WHEN abs(ny) > 1e-12 THEN sign(ny) ELSE sign(nz) END AS sg FROM h)
-SELECT g, i, j, round(nx / n * sg, 5) + 0.0 AS nx, round(ny / n * sg, 5) + 0.0 AS ny, round(nz / n * sg, 5) + 0.0 AS nz, round(rhs / n * sg, 5) + 0.0 AS rhs, 2 AS uses FROM u"""
+    f"""WITH {SEGMENTS}, h AS (SELECT l_suppkey, x1 - x0 AS nx, y1 - y0 AS ny, z1 - z0 AS nz, (x1*x1 + y1*y1 + z1*z1 - x0*x0 - y0*y0 - z0*z0) / 2.0::DOUBLE AS rhs FROM seg WHERE (x0, y0, z0) <> (x1, y1, z1)),
+u AS (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) AS n, CASE WHEN nx <> 0 THEN sign(nx) WHEN ny <> 0 THEN sign(ny) ELSE sign(nz) END AS sg FROM h)
+SELECT l_suppkey AS g, round(nx / n * sg, 5) + 0.0 AS nx, round(ny / n * sg, 5) + 0.0 AS ny, round(nz / n * sg, 5) + 0.0 AS nz, round(rhs / n * sg, 5) + 0.0 AS rhs, CAST(count(*) AS INT) AS uses FROM u GROUP BY ALL"""
 )
 def merged_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The planes of all cells in canonical form, equal ones made one."""
-    half = neighbours.halfspaces(supplier_seeds(spark, sf_dir), ["g"])
-    p = states.canonical_planes(half)
+    """The bisecting planes of each supplier's segments in canonical form, equal
+    ones made one, with how many segments use each."""
+    ends = segments(spark, sf_dir).select(F.col("l_suppkey").alias("g"), *[F.col(f"{a}{e}").cast("double").alias(f"{p}{a}") for p, e in (("a", 0), ("b", 1)) for a in "xyz"])
+    p = states.canonical_planes(ends.select("g", *neighbours.bisector()))
     key = [(F.round(c, 5) + 0.0).alias(c) for c in ("nx", "ny", "nz", "rhs")]
-    # the two sides of a pair are one plane; the pair keeps planes of unlike pairs apart
-    pair = [F.least("seed_id", "neighbour_id").alias("i"), F.greatest("seed_id", "neighbour_id").alias("j")]
-    return p.groupBy("g", *pair, *key).agg(F.count("*").cast("int").alias("uses"))
+    return p.groupBy("g", *key).agg(F.count("*").cast("int").alias("uses"))
 
 
 @query(

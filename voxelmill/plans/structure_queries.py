@@ -77,7 +77,7 @@ def edge_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.groupBy(geometry.edge_role(F.col("fa"), F.col("fb")).alias("role")).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cell_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supports of each seed's cell in its label's diagram: bisectors with its
     neighbours (key 7 on), and the box -12..12 (keys 1 to 6)."""
     seeds = cut(label_seeds(spark, sf_dir, (0.0, 0.0, 0.0)).withColumnRenamed("g", "label"))
@@ -115,7 +115,7 @@ SELECT t.seed_id, count(*) AS triples FROM t JOIN near a ON a.seed_id = t.seed_i
 JOIN near c ON c.seed_id = t.seed_id AND c.key = ck WHERE abs(det) > 1e-12 GROUP BY t.seed_id"""
 )
 def plane_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.plane_triples(_planes(spark, sf_dir), ["label", "seed_id"]).groupBy("seed_id").agg(F.count("*").alias("triples"))
+    return geometry.plane_triples(cell_planes(spark, sf_dir), ["label", "seed_id"]).groupBy("seed_id").agg(F.count("*").alias("triples"))
 
 
 @query(
@@ -124,7 +124,7 @@ d AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY seed_id, round_eve
 SELECT seed_id, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM d"""
 )
 def voronoi_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = geometry.cell_vertices(_planes(spark, sf_dir), ["label", "seed_id"])
+    v = geometry.cell_vertices(cell_planes(spark, sf_dir), ["label", "seed_id"])
     return v.select("seed_id", *[(F.round(a, 3) + 0.0).alias(a) for a in "xyz"])
 
 
