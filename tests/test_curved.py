@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelmill.operators import curved, deck_writing, neighbours, shells
+from voxelmill.operators import curved, deck_writing, neighbours, shells, triangulation
 from voxelmill.session import cut
 
 D = curved.HollowCylinder(0.0, 0.0, 2.0, 5.0, 0.0, 10.0)
@@ -72,6 +72,17 @@ def test_faces_tile_the_shell_and_bound_the_volume(brep):
     assert len(doc["nodes"]) == 6 and doc["nodes"][0]["extras"]["isShell"] and doc["accessors"][1]["type"] == "VEC3"
 
 
+def test_inner_points_leave_the_areas(brep):
+    """Flat faces over points inside are as large as those of ears, and no rim gets or loses a point."""
+    _, supports, _, found, chains = brep
+    mesh = lambda m: cut(shells.cell_triangles(found, chains, supports, CELL, mesh=m).filter("NOT support LIKE '%cylinder'"))
+    ears, inner = mesh(shells.ear_mesh), mesh(triangulation.flat_mesh)
+    of = lambda t: {(r.g, r.seed_id, r.support): (r.area, r.n_triangles) for r in shells.areas(t, CELL).collect()}
+    a, b = of(ears), of(inner)
+    assert set(a) == set(b) and all(b[k][0] == pytest.approx(a[k][0], rel=1e-9) for k in a)
+    assert sum(n for _, n in b.values()) > 1.5 * sum(n for _, n in a.values())
+
+
 def test_cell_documents(brep):
     _, _, verts, found, chains = brep
     docs = curved.cell_documents(verts, found, chains, CELL).filter("g = '1'").collect()

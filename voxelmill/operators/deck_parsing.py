@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .decks import keyword, load_rows, materials, parameters, solid_sections, tokens
+from .prefix import running_last
 
 
 def headed(lines: DataFrame, deck: str = "deck", n: str = "n", text: str = "line") -> DataFrame:
     """Each line with its last header: deck, n, line, keyword, header, at (the
     header's number), is_header, inside (whether it stands in *Assembly)."""
-    w = Window.partitionBy(deck).orderBy(n).rowsBetween(Window.unboundedPreceding, 0)
     line = F.trim(F.col(text))
-    key = keyword(line)
-    last = lambda c: F.last(F.when(key.isNotNull(), c), ignorenulls=True).over(w)
-    gate = F.last(F.when(key == "assembly", True).when(key == "end assembly", False), ignorenulls=True).over(w)
-    return lines.select(
-        F.col(deck).alias("deck"), F.col(n).alias("n"), line.alias("line"), last(key).alias("keyword"), last(line).alias("header"), last(F.col(n)).alias("at"),
-        key.isNotNull().alias("is_header"), F.coalesce(gate, F.lit(False)).alias("inside"),
-    )
+    marked = lines.select(F.col(deck).alias("deck"), F.col(n).alias("n"), line.alias("line"), keyword(line).alias("__key"))
+    key = F.col("__key")
+    head = F.when(key.isNotNull(), F.struct(key.alias("keyword"), F.col("line").alias("header"), F.col("n").alias("at")))
+    gate = F.when(key == "assembly", True).when(key == "end assembly", False)
+    found = running_last(marked, "deck", "n", {"__head": head, "__gate": gate})
+    # several tables are made from these rows, and no cast may be moved before the test of its header
+    return cut(found.select("deck", "n", "line", "__head.*", key.isNotNull().alias("is_header"), F.coalesce("__gate", F.lit(False)).alias("inside")))
 
 
 def _data(marked: DataFrame, key: str) -> DataFrame:

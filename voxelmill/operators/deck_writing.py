@@ -140,8 +140,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
+def write_lines(lines: DataFrame, path: str, newline: str = "\r\n") -> None:
     """The lines of each deck as text files below deck=..., whose order of names
-    is the order of the lines."""
+    is the order of the lines; lines end with `newline`."""
     rows = lines.repartitionByRange("deck", "part", "n", "sub").sortWithinPartitions("deck", "part", "n", "sub")
-    rows.select("deck", "line").write.partitionBy("deck").text(path)
+    rows.select("deck", "line").write.partitionBy("deck").option("lineSep", newline).text(path)

@@ -51,9 +51,9 @@ def case_values(cases: DataFrame, own: DataFrame, shared: DataFrame, key: list[s
     for a case that has none at all, the shared ones (key, value)."""
     has = own.select("case").distinct()
     mine = own.join(cases, "case", "left_semi").select("case", *key, "value", F.lit(True).alias("is_own"))
-    # cases are few: those without values of their own come to each shared row as a list
-    rest = cases.join(has, "case", "left_anti").agg(F.array_sort(F.collect_list("case")).alias("c")).first()["c"]
-    common = shared.withColumn("case", F.explode(F.array(*[F.lit(c) for c in rest]) if rest else F.array().cast(f"array<{cases.schema['case'].dataType.simpleString()}>")))
+    # cases are few: those without values of their own come to each shared row as a list, a scalar of the plan
+    rest = cases.join(has, "case", "left_anti").agg(F.array_sort(F.collect_list("case")).alias("c")).scalar()
+    common = shared.withColumn("case", F.explode(rest))
     return mine.union(common.select("case", *key, "value", F.lit(False).alias("is_own")))
 
 

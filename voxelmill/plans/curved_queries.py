@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import curved, diagram, seams, shells
+from ..operators import curved, diagram, seams, shells, triangulation
 from ..session import cut
 from .tables import VOXELS, label_seeds, label_seeds_sql, voxels
 
@@ -278,11 +278,11 @@ def _seamed(spark: SparkSession, sf_dir: str, samples: int = 9) -> tuple[DataFra
     return supports, found, cut(seams.seam_points(own, signed, seams.registry(signed, CELL, "seed_id"), CELL, "seed_id", samples))
 
 
-def _triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _triangles(spark: SparkSession, sf_dir: str, mesh: shells.Mesh = shells.ear_mesh) -> DataFrame:
     supports = _supports(spark, sf_dir)
     verts = cut(curved.vertices(supports, CELL))
     found = cut(curved.edges(verts, supports, CELL))
-    return cut(shells.cell_triangles(found, curved.loops(found, CELL), supports, CELL))
+    return cut(shells.cell_triangles(found, curved.loops(found, CELL), supports, CELL, mesh=mesh))
 
 
 @query()
@@ -292,6 +292,13 @@ def shell_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(*CELL, "support", "n_triangles", F.round("area", 4).alias("area"))
 
 
+@query()
+def inner_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles and areas of each cell's flat faces, meshed over points inside."""
+    a = shells.areas(_triangles(spark, sf_dir, triangulation.flat_mesh).filter("NOT support LIKE '%cylinder'"), CELL)
+    return a.select(*CELL, "support", "n_triangles", F.round("area", 4).alias("area"))
+
+
 @query()
 def shell_glb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A binary mesh file of each diagram with a part for each cell."""
