@@ -33,7 +33,8 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
 #: The tokenizer's words: contractions, runs of letters, single digits, runs of other signs.
 LETTER, DIGIT, GAP = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾", "\t\n\r "
 WORD = re.compile(f"[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{DIGIT}]|[^{LETTER}{DIGIT}{GAP}]+")
-CACHED_WORDS = 700_000
+#: Chunks that a worker keeps at most; new ones of one run of texts come on top.
+CACHED_WORDS = 300_000
 CLOSES = frozenset(".!?")
 LONGEST_PIECE = 1 << 20
 
@@ -259,7 +260,7 @@ class Packer:
         self.size -= begin
 
 
-def split_by_size(texts: list[str], most: int = 1 << 22) -> Iterator[slice]:
+def split_by_size(texts: list[str], most: int = 1 << 21) -> Iterator[slice]:
     """Runs of texts of about `most` characters, one text at least."""
     begin, held = 0, 0
     for n, t in enumerate(texts):
