@@ -73,3 +73,35 @@ def test_rare_pairs_keep_all_that_are_alike(spark):
     held = [set(s) for s in sets]
     alike = {(a, b) for a in range(300) for b in range(a + 1, 300) if len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])}
     assert alike <= got and len(alike) > 100 and len(got) < 12_000
+
+
+def test_rare_pairs_of_a_family_are_hardly_more_than_its_links(spark):
+    """Texts with 3 to 30 words of one base edited: most pairs share many shingles and are no links; they aren't made."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(400)]
+    sets = []
+    for _ in range(160):
+        now = list(base)
+        for _ in range(rng.randint(3, 30)):
+            now[rng.randrange(len(now))] = f"x{rng.randrange(1 << 30)}"
+        sets.append(near_dedup.shingles(" ".join(now), 5).view(np.int64).tolist())
+    nodes = spark.createDataFrame([(k, len(s), k) for k, s in enumerate(sets)], "node long, n long, component long")
+    grams = spark.createDataFrame(list(enumerate(sets)), "node long, grams array<long>")
+    got = {(r.u, r.v) for r in near_dedup.rare_pairs(nodes, grams, 0.8).distinct().collect()}
+    held = [set(s) for s in sets]
+    alike = {(a, b) for a in range(160) for b in range(a + 1, 160) if len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])}
+    assert alike <= got and len(alike) > 20
+    assert len(got) < 0.1 * 160 * 159 / 2 and len(got) < 6 * len(alike)
+
+
+def test_parity_sketches_differ_in_no_more_bits_than_the_sets(spark):
+    rng = np.random.default_rng(6)
+    sets = [rng.choice(1 << 40, n, replace=False) for n in (0, 1, 5, 300, 5000)]
+    sets += [np.concatenate([s[1:], s[:1] + 1]) for s in sets if len(s)]
+    grams = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(sets)], "k long, grams array<long>")
+    rows = {r["k"]: r["bits"] for r in grams.select("k", near_dedup.parity(grams["grams"]).alias("bits")).collect()}
+    bits = [sum((x % (1 << 64)) << (64 * k) for k, x in enumerate(rows[n])) for n in range(len(sets))]
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            assert (bits[a] ^ bits[b]).bit_count() <= len({*sets[a].tolist()} ^ {*sets[b].tolist()})
+    assert (bits[3] ^ bits[7]).bit_count() in {0, 2}

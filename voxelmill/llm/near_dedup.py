@@ -12,7 +12,10 @@ Only connected components are asked for, so pairs that are linked already are
 not compared: first all members of a band's bucket meet its smallest member,
 then, a few times, the members of a crowded bucket that hold several components
 meet a leader of another one, and at last all pairs of a bucket that are still
-in different components are compared, whatever the bucket's size.
+in different components are compared, whatever the bucket's size. These last
+pairs are told apart by parity sketches while they meet: two sketches differ in
+no more bits than the sets in shingles, so what differs in too many bits is no
+link, and of a crowd's pairs hardly others than links are made.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .components import connected_components
 from .simhash import link_fingerprints, majority
 
 SEED, BANDS, ROWS = 42, 20, 4
+#: Bits of a parity sketch; a multiple of 64.
+PARITY_BITS = 1024
 _DRAW = np.random.default_rng(SEED)
 _TURN = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -81,6 +86,34 @@ def gram_sets(text: Column, words: int) -> Column:
     return of(text)
 
 
+def parity(grams: Column) -> Column:
+    """The parity sketch of a set of shingles: each flips one of PARITY_BITS bits."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def of(sets: pd.Series) -> pd.Series:
+        flips = lambda g: np.bincount(np.asarray(g, np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+        return pd.Series([np.packbits(flips(g).astype(np.uint8)).view(np.int64) for g in sets])
+
+    return of(grams)
+
+
+def meet(rows: DataFrame, by: str, least: float) -> DataFrame:
+    """Pairs (u, v) of rows (by, node, n, component, bits) that share `by`, are
+    of different components and may be `least` alike: sets that are differ in
+    few enough shingles, so their parity sketches do in few enough bits."""
+    words = range(PARITY_BITS // 64)
+    # a column for each word, not null: the join's condition stays small enough to be compiled
+    side = lambda x: rows.select(
+        by, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component")], *[F.coalesce(F.col("bits")[k], F.lit(0)).alias(f"{x}{k}") for k in words]
+    )
+    n_u, n_v = F.col("n_u"), F.col("n_v")
+    differ = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in words[1:]), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
+    pairs = side("u").join(side("v"), by).filter("node_u < node_v AND component_u <> component_v")
+    pairs = pairs.filter(F.least(n_u, n_v) >= F.lit(least) * F.greatest(n_u, n_v) - 1e-9)
+    pairs = pairs.filter(differ <= F.lit((1 - least) / (1 + least)) * (n_u + n_v) + 1e-6)
+    return pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+
+
 def text_key(text: Column) -> Column:
     """A 64-bit hash of the text as it is; null differs from empty."""
     return F.xxhash64(text)
@@ -112,17 +145,16 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     shingles of each, the nodes' rarest first. No pair that is alike is left out,
     and shingles that very many nodes share are used by those alone that have
     hardly others."""
-    grams = nodes.join(sets, "node").select("node", "n", "component", F.explode("grams").alias("gram"))
+    held = nodes.join(sets, "node")
+    grams = held.select("node", "n", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("often")).filter("often > 1")
     # a shingle of one node makes no pair, but takes a place among its first ones
     known = grams.join(often, "gram", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "gram"))
     most = F.floor(F.lit(1 - least + 1e-9) * F.col("n")) + 1
-    rare = cut(known.withColumn("nth", nth).filter((F.col("nth") <= most) & (F.col("often") > 1)).select("node", "n", "component", "gram"))
-    left = rare.select("gram", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    right = rare.select("gram", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    alike = F.least("nu", "nv") >= F.lit(least) * F.greatest("nu", "nv") - 1e-9
-    return left.join(right, "gram").filter("u < v AND cu <> cv").filter(alike).select("u", "v")
+    rare = cut(known.withColumn("nth", nth).filter((F.col("nth") <= most) & (F.col("often") > 1)).select("node", "gram"))
+    signed = held.select("node", "n", "component", parity(F.col("grams")).alias("bits"))
+    return meet(rare.join(signed, "node"), "gram", least)
 
 
 def link_sets(nodes: DataFrame, sets_of, least: float = 0.8, crowd: int = 64, rounds: int = 4) -> DataFrame:
@@ -137,6 +169,7 @@ def link_sets(nodes: DataFrame, sets_of, least: float = 0.8, crowd: int = 64, ro
 
     pairs = shared.filter("node <> lead").filter(sized(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("u"), F.col("node").alias("v"))
     links = verified(pairs.union(close).distinct(), sets, least)
+    before = None
     for turn in range(rounds + 1):
         parts = cut(connected_components(links))
         now = shared.select("key", "node", "n", "c").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -144,13 +177,14 @@ def link_sets(nodes: DataFrame, sets_of, least: float = 0.8, crowd: int = 64, ro
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
         now = cut(now.join(mixed, "key"))
         crowded = now.filter(F.col("c") > crowd)
-        last = turn == rounds or crowded.isEmpty()
+        many = crowded.count()
+        # a round that hardly thins the crowds is not followed by others: what is left is not alike, or not to a leader
+        last = turn == rounds or not many or (before is not None and many > 0.9 * before)
+        before = many
         if last:
-            few = now.filter(F.col("c") <= crowd)
-            left = few.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-            right = few.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-            some = left.join(right, "key").filter("u < v AND cu <> cv").filter(sized(F.col("nu"), F.col("nv"))).select("u", "v")
-            if not crowded.isEmpty():
+            signed = sets.select("node", parity(F.col("grams")).alias("bits"))
+            some = meet(now.filter(F.col("c") <= crowd).join(signed, "node"), "key", least)
+            if many:
                 some = some.union(rare_pairs(crowded.select("node", "n", "component").distinct(), sets, least))
         else:
             rank = F.xxhash64("key", "node", F.lit(turn))
