@@ -305,3 +305,24 @@ def test_index_reopened_in_another_session_keeps_its_buckets(spark):
     assert not any(r["kept"] for r in again) and all(r["in_index"] for r in again)
     with pytest.raises(ValueError):
         exact_dedup.DigestIndex(spark, path, buckets=5)
+
+
+def test_known_chunks_are_looked_up_once():
+    import public_tokenizers
+
+    asked = []
+
+    class Counted(dict):
+        get = lambda self, *a: (asked.append(a[0]), dict.get(self, *a))[1]
+        __contains__ = lambda self, k: (asked.append(k), dict.__contains__(self, k))[1]
+        __getitem__ = lambda self, k: (asked.append(k), dict.__getitem__(self, k))[1]
+
+    words = packing.WordTokenizer(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["One two. Three! Four", "", " two. five?  "]
+    first = [(i.tolist(), c.tolist()) for i, c in words.encode(texts)]
+    words.chunks.number = Counted(words.chunks.number)
+    assert [(i.tolist(), c.tolist()) for i, c in words.encode(texts)] == first
+    assert sorted(filter(None, asked)) == sorted({"one", "two.", "three!", "four", "five?"})
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    closes = [whole.encode(x, add_special_tokens=False).ids for x in ("One two.", "Three!")]
+    assert first[0][1] == [len(closes[0]), len(closes[0]) + len(closes[1])]

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ LETTER, DIGIT, GAP = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾", "\t\n\r "
 WORD = re.compile(f"[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{DIGIT}]|[^{LETTER}{DIGIT}{GAP}]+")
 #: Chunks that a worker keeps at most; new ones of one run of texts come on top.
 CACHED_WORDS = 300_000
-CLOSES = frozenset(".!?")
+CLOSES = "[.!?]$"
 LONGEST_PIECE = 1 << 20
 
 
@@ -108,7 +109,7 @@ class WordTokenizer:
     def learn(self, chunks: list[str]) -> None:
         split = [WORD.findall(c) for c in chunks]
         flat = [w for words in split for w in words]
-        new = sorted(set(flat).difference(self.words.number))
+        new = list(set(flat).difference(self.words.number))
         if new:
             self.words.add(new, *self.merged(new))
         ids, ends = self.words.rows(self.words.numbers(flat))
@@ -126,11 +127,13 @@ class WordTokenizer:
         coded = split.flatten().dictionary_encode()
         seen, place, first = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), split.offsets.to_numpy()
         counts = np.diff(first)
-        new = [c for c in seen if c and c not in self.chunks.number]
-        if new:
-            self.learn(new)
-        number = np.fromiter((self.chunks.number[c] if c else -1 for c in seen), np.int64, len(seen))
-        closes = np.fromiter((c[-1:] in CLOSES for c in seen), bool, len(seen))
+        known = self.chunks.number
+        number = np.fromiter(map(known.get, seen, repeat(-1)), np.int64, len(seen))
+        if new := [k for k in np.flatnonzero(number < 0).tolist() if seen[k]]:
+            before = len(known)
+            self.learn([seen[k] for k in new])
+            number[new] = np.arange(before, len(known))
+        closes = pc.match_substring_regex(coded.dictionary, CLOSES).to_numpy(zero_copy_only=False)
         held = number[place] >= 0 if len(place) else np.zeros(0, bool)
         ids, ends = self.chunks.rows(number[place][held])
         text_of = np.repeat(np.arange(len(texts)), counts)[held]
@@ -176,28 +179,32 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
             exact.setdefault(j, []).append(i)
     total, back = [0.0] * n, [0] * n
     queue, keys = deque([0]), deque([0.0])  # starts in reach, by rising total + place
-    first, least = 0, 0.0
-    for j in range(1, n):
-        p = place[j]
-        while place[first] < p - window:
+    pop, pop_key, push, push_key = queue.pop, keys.pop, queue.append, keys.append
+    first, least, reach = 0, 0.0, float(window)  # reach: the last place that the first start gets to
+    for j, (p, more) in enumerate(zip(place[1:], price[1:], strict=True), 1):
+        while reach < p:
             queue.popleft()
             keys.popleft()
             first, least = queue[0], keys[0]
+            reach = place[first] + window
         i, best = first, least + window - p
         if j in exact:
             for e in exact[j]:
                 if total[e] < best:
                     best, i = total[e], e
-        best += price[j]
+        best += more
         total[j], back[j] = best, i
         best += p
-        while keys and keys[-1] >= best:
-            keys.pop()
-            queue.pop()
-        queue.append(j)
-        keys.append(best)
-        if len(queue) == 1:
-            first, least = j, best
+        if least >= best:  # then all others are too
+            queue.clear()
+            keys.clear()
+            first, least, reach = j, best, p + window
+        else:
+            while keys[-1] >= best:
+                pop_key()
+                pop()
+        push(j)
+        push_key(best)
     cuts, j = [], n - 1
     while j:
         cuts.append(j)
