@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from ..session import cut
+from ..session import cut, release
 from .components import connected_components
 from .simhash import link_fingerprints, majority
 
@@ -164,6 +164,7 @@ def link_sets(nodes: DataFrame, sets_of, least: float = 0.8, crowd: int = 64, ro
     groups = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n")).filter("c > 1")
     shared = cut(keyed.join(groups, "key"))
     close = cut(simhash_pairs(nodes.select("node", "fp")))
+    release(nodes.sparkSession)
     sets = cut(sets_of(shared.select("node").union(close.select("u")).union(close.select("v")).distinct()))
     sized = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
 
@@ -172,6 +173,7 @@ def link_sets(nodes: DataFrame, sets_of, least: float = 0.8, crowd: int = 64, ro
     before = None
     for turn in range(rounds + 1):
         parts = cut(connected_components(links))
+        release(nodes.sparkSession)
         now = shared.select("key", "node", "n", "c").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # a bucket of one component is done
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
@@ -192,6 +194,7 @@ def link_sets(nodes: DataFrame, sets_of, least: float = 0.8, crowd: int = 64, ro
             some = crowded.join(lead, "key").filter("component <> l.component").filter(sized(F.col("n"), F.col("l.n")))
             some = some.select(F.least("node", "l.node").alias("u"), F.greatest("node", "l.node").alias("v"))
         links = cut(links.union(verified(some.distinct(), sets, least)))
+        release(nodes.sparkSession)
         if last:
             break
     return connected_components(links)
