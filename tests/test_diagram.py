@@ -109,3 +109,23 @@ def test_cell_volume_by_vertices(seed):
     walls = np.abs(np.abs(cell.points + me) - 1) < 1e-9
     assert gap.max() < 1e-9
     assert ((np.abs(gap) < 1e-9).sum(1) + walls.sum(1) == 3).all()
+
+
+def test_looking_at_many_planes_equals_one_after_the_other():
+    r = np.random.default_rng(9)
+    near = r.uniform(-1, 1, (400, 3))
+    near = near[np.argsort((near**2).sum(1))]
+    one, many = (diagram.Cell(np.full(3, -1.0), np.full(3, 1.0)) for _ in range(2))
+    cutting = [k for k, n in enumerate(near) if one.clip(n, n @ n / 2)]
+    assert many.clip_all(near, (near**2).sum(1)) == cutting
+    np.testing.assert_allclose(many.points, one.points, atol=1e-12)
+
+
+def test_cells_of_a_null_label_and_neighbours_that_others_hide(spark):
+    from voxelmill.operators.cells import build_cells
+
+    rows = [(g, k, 0.1 + 0.2 * k, 0.5, 0.5) for g in (None, 1) for k in range(4)]
+    found = build_cells(spark.createDataFrame(rows, "label int, seed_id long, x double, y double, z double"), "label", 0.0, 1.0).collect()
+    own = sorted((r.seed_id, round(r.volume, 9), len(r.faces), r.n_neighbours) for r in found if r.label is None)
+    assert own == [(0, 0.2, 6, 1), (1, 0.2, 6, 2), (2, 0.2, 6, 2), (3, 0.4, 6, 1)]
+    assert own == sorted((r.seed_id, round(r.volume, 9), len(r.faces), r.n_neighbours) for r in found if r.label == 1)
