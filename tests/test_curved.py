@@ -112,3 +112,11 @@ def test_numbers_and_written_decks(spark, tmp_path):
     bad = spark.createDataFrame([(0, 0, 1.5)], "deck long, set_no int, id double")
     with pytest.raises(Exception, match="non-integer"):
         deck_writing.set_blocks(spark.createDataFrame([(0, 0, "s")], "deck long, set_no int, name string"), bad, 0).collect()
+
+
+def test_cells_are_worked_on_by_several_tasks(spark, brep):
+    """The tables are small in bytes, so that AQE would join them to one task."""
+    _, supports, _, found, chains = brep
+    least = spark.sparkContext.defaultParallelism
+    assert curved.loops(found, CELL).rdd.getNumPartitions() >= least
+    assert shells.cell_triangles(found, chains, supports, CELL).rdd.getNumPartitions() >= least
